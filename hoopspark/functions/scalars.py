@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CLOCK_PATTERN = r"^PT(\d+)M([\d.]+)S"
 MINUTES_PATTERN = r"^PT(\d+)M"
@@ -120,7 +121,7 @@ def normal_name(c) -> Column:
     return F.trim(F.lower(F.regexp_replace(plain, r"[^\x00-\x7F]", "")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normal_name_exact(names: pd.Series) -> pd.Series:
     """Full compatibility decomposition, in Arrow batches."""
     folded = names.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")

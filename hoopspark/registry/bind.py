@@ -67,7 +67,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-EV = """ev AS (
+EV = """ev AS MATERIALIZED (
   SELECT event_id, ts, user_id, event_type, value, k, game_date, dn, league,
          league * 5 + slot AS teamId, league * 5 + opp_slot AS opp_team_id,
          (league * 100000 + dn) * 10 + least(slot, opp_slot) AS gameId,
@@ -120,7 +120,7 @@ def pct(num: str, den: str, digits: int = 3) -> str:
 
 BOX = f"""{RAW_BOX},
 bt AS (SELECT *, sum(fga - oreb + tov + 0.44::DOUBLE * fta) OVER (PARTITION BY gameId, teamId) AS team_poss FROM rb),
-box AS (
+box AS MATERIALIZED (
   SELECT *, {pct('fgm', 'fga')} AS fg_pct, {pct('fg3m', 'fg3a')} AS fg3_pct, {pct('ftm', 'fta')} AS ft_pct,
          {pct('fgm + 0.5::DOUBLE * fg3m', 'fga')} AS efg_pct,
          {pct('pts', '2 * (fga + 0.44::DOUBLE * fta)')} AS ts_pct,
@@ -223,7 +223,20 @@ marks AS (
          CASE s.subType WHEN 'start' THEN 720 ELSE 0 END AS clock_left
   FROM (SELECT DISTINCT gameId, season FROM ev), (SELECT unnest([1::BIGINT, 2, 3, 4]) AS period),
        (SELECT unnest(['start', 'end']) AS subType) s),
-pbp AS (SELECT * FROM acts UNION ALL BY NAME SELECT * FROM marks)"""
+pbp AS MATERIALIZED (SELECT * FROM acts UNION ALL BY NAME SELECT * FROM marks)"""
+
+
+OFF_TIE = 3.21e-8
+
+
+def settle(df: DataFrame, *cols: str) -> DataFrame:
+    """Round weighted means, whose exact decimals often end in a 5: a small shift on both sides of the
+    comparison keeps the last bit of a double from deciding the rounding."""
+    return df.withColumns({c: F.round(F.col(c) + OFF_TIE, 6) for c in cols})
+
+
+def settled(cols, prefix: str = "") -> str:
+    return ", ".join(f"round({prefix}{c} + 3.21e-8::DOUBLE, 6) AS {c}" for c in cols)
 
 
 def r6(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:

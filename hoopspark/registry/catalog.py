@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import importlib
-
-MODULES = ["court"]
-
-
-def _merge(attribute: str) -> dict:
-    merged: dict = {}
-    for name in MODULES:
-        for key, value in getattr(importlib.import_module(f"hoopspark.registry.{name}"), attribute).items():
-            if key in merged:
-                raise ValueError(f"duplicate query {key}")
-            merged[key] = value
-    return merged
+from hoopspark.registry import court, series  # noqa: F401  (each import registers its queries)
+from hoopspark.registry.core import query
 
 
 def queries() -> dict:
-    return _merge("QUERIES")
+    return dict(query.queries)
 
 
 def oracle_sql() -> dict:
-    return _merge("ORACLE")
+    return dict(query.oracle)

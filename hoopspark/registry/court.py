@@ -5,20 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hoopspark.operators import boxscore, stints
-from hoopspark.registry.bind import ORDER_WIDTH, PBP, SCHED, box, pbp, pct, r6, schedule
 from hoopspark.functions.scalars import clock_seconds, period_seconds
-
-QUERIES, ORACLE = {}, {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql:
-            ORACLE[name] = sql
-        return fn
-    return add
-
+from hoopspark.registry.bind import ORDER_WIDTH, PBP, SCHED, pbp, pct, r6, schedule
+from hoopspark.registry.core import query
 
 IDENT = """ident AS (
   SELECT gameId, personId, arg_min(playerName, orderNumber) AS playerName, arg_min(teamId, orderNumber) AS teamId,
