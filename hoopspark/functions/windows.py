@@ -73,47 +73,27 @@ def ewma_means(
     inside double range; the mean at the end of the block before is carried in.
     """
     decay = 1.0 - alpha
-    cols = list(cols)
-    order_cols = [F.col(c) for c in order]
-    base = df.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_cols)))
-    base = base.withColumn("_blk", F.floor(F.col("_pos") / EWMA_BLOCK))
-    by_key = Window.partitionBy(*keys).orderBy("_blk", "_pos")
-    by_block = Window.partitionBy(*keys, "_blk").orderBy("_pos").rowsBetween(UNBOUNDED, 0)
-    earlier = by_key.rowsBetween(UNBOUNDED, -1)
-
-    def known(c):
-        return F.col(c).isNotNull()
-
-    step = base.withColumns(
-        {f"_p_{c}": F.last(F.when(known(c), F.col("_pos")), ignorenulls=True).over(earlier) for c in cols}
-    )
-    weights = {}
-    for c in cols:
-        faded = F.pow(F.lit(decay), (F.col("_pos") - F.col(f"_p_{c}")).cast("double"))
-        is_first = F.col(f"_p_{c}").isNull()
-        weights[f"_l_{c}"] = F.when(known(c) & ~is_first, F.ln(faded / (faded + alpha))).otherwise(0.0)
-        weights[f"_c_{c}"] = F.when(known(c), F.when(is_first, 1.0).otherwise(F.lit(alpha) / (faded + alpha)))
-    step = step.withColumns(weights)
-    step = step.withColumns({f"_s_{c}": F.sum(f"_l_{c}").over(by_block) for c in cols})
-    step = step.withColumns(
-        {
-            f"_t_{c}": F.sum(F.col(f"_c_{c}") * F.col(c).cast("double") * F.exp(-F.col(f"_s_{c}"))).over(by_block)
-            for c in cols
-        }
-    )
-    inside = {c: F.exp(F.col(f"_s_{c}")) * F.coalesce(F.col(f"_t_{c}"), F.lit(0.0)) for c in cols}
-    step = step.withColumns({f"_y_{c}": F.when(known(c), inside[c]) for c in cols})
-    step = step.withColumns({f"_e_{c}": F.last(f"_y_{c}", ignorenulls=True).over(earlier) for c in cols})
-    step = step.withColumns({f"_k_{c}": F.first(f"_e_{c}").over(by_block) for c in cols})
-    step = step.withColumns(
-        {
-            f"_y_{c}": F.col(f"_y_{c}")
-            + F.exp(F.col(f"_s_{c}")) * F.coalesce(F.col(f"_k_{c}"), F.lit(0.0))
-            for c in cols
-        }
-    )
-    step = step.withColumns({f"{c}{suffix}": F.last(f"_y_{c}", ignorenulls=True).over(earlier) for c in cols})
-    return step.select(*df.columns, *[f"{c}{suffix}" for c in cols])
+    key, cols = ", ".join(keys), list(cols)
+    earlier = f"OVER (PARTITION BY {key} ORDER BY _blk, _pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    block = f"OVER (PARTITION BY {key}, _blk ORDER BY _pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+    def step(frame: DataFrame, *templates: str) -> DataFrame:
+        return frame.selectExpr("*", *[t.format(c=c) for t in templates for c in cols])
+
+    df_cols = df.columns
+    rows = df.selectExpr("*", f"row_number() OVER (PARTITION BY {key} ORDER BY {', '.join(order)}) AS _pos")
+    rows = rows.selectExpr("*", f"_pos div {EWMA_BLOCK} AS _blk")
+    # rows since the last value, and its fading d**g
+    rows = step(rows, f"last(CASE WHEN {{c}} IS NOT NULL THEN _pos END, true) {earlier} AS _p_{{c}}")
+    rows = step(rows, f"CASE WHEN {{c}} IS NOT NULL THEN power({decay}D, _pos - _p_{{c}}) END AS _f_{{c}}")
+    # running sums of ln(a) and of c*x / (product of the a so far), restarting with each block
+    rows = step(rows, f"sum(coalesce(ln(_f_{{c}} / (_f_{{c}} + {alpha}D)), 0D)) {block} AS _s_{{c}}")
+    rows = step(rows, f"CASE WHEN {{c}} IS NOT NULL THEN exp(_s_{{c}}) * sum(CAST({{c}} AS DOUBLE) "
+                      f"* coalesce({alpha}D / (_f_{{c}} + {alpha}D), 1D) * exp(-_s_{{c}})) {block} END AS _y_{{c}}")
+    # the mean at the end of the block before, carried in
+    rows = step(rows, f"last(_y_{{c}}, true) {earlier} AS _e_{{c}}")
+    rows = step(rows, f"_y_{{c}} + exp(_s_{{c}}) * coalesce(first(_e_{{c}}) {block}, 0D) AS _z_{{c}}")
+    return rows.selectExpr(*df_cols, *[f"last(_z_{c}, true) {earlier} AS {c}{suffix}" for c in cols])
 
 
 def latest_values(df: DataFrame, keys, order, cols) -> DataFrame:

@@ -69,54 +69,58 @@ def eligible(pool: DataFrame, keys, minutes: float = MIN_MINUTES, least: int = S
 def best_five(pool: DataFrame, keys) -> DataFrame:
     """Highest total score of five players with at least two guards, two forwards and one centre.
 
-    A rule the pool cannot meet is dropped; a pool of five or fewer is taken whole. Exact without a solver:
+    A rule the pool cannot meet is dropped; a pool of five or fewer is taken whole; rules that clash leave the
+    five best scores. Exact without a solver:
     players with the same flags are interchangeable but for their score, so a lineup is a number of players
     from each of the eight flag classes, and the best of each class are taken. Only five per class can
-    matter, so a pool shrinks to at most forty rows and at most 792 count vectors, which are expanded one
-    class at a time within the five places left. Scores count in thousandths, so totals are exact; equal
+    matter, so a pool shrinks to at most forty rows and at most 792 count vectors, which are grown one
+    class at a time inside a row, within the five places left. Scores count in thousandths, so totals are exact; equal
     totals go to the smaller ids.
     """
     keys = list(keys)
+    team = Window.partitionBy(*keys)
     flags = position_flags()
     kind = sum((F.when(flags[f], v).otherwise(0) for f, v in zip(("is_guard", "is_forward", "is_center"), FLAGS.values())), F.lit(0))
     tagged = pool.withColumns({"_class": kind, "_points": F.round(F.col("score") * 1000).cast("bigint")})
-    counts = tagged.groupBy(*keys).agg(
-        F.count("*").alias("_n"), *[F.count_if(F.col("_class").bitwiseAND(v) > 0).alias(f"_has{f}") for f, v in FLAGS.items()]
-    )
-    top = top_rows(tagged, [*keys, "_class"], [F.desc("_points"), "personId"], STARTERS)
-    member = F.struct((-F.col("_points")).alias("rank"), F.col("personId").alias("id"), F.col("_points").alias("points"))
-    classes = top.groupBy(*keys).agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("_class") == c, member))).alias(f"_c{c}") for c in range(8)
-    ])
-    state = classes.join(counts, keys).withColumns({
-        "_left": F.least(F.lit(STARTERS), F.col("_n")).cast("int"), "_points": F.lit(0).cast("bigint"),
-        "_ids": F.array().cast("array<bigint>"), "_gotG": F.lit(0), "_gotF": F.lit(0), "_gotC": F.lit(0),
-    })
-    for c in range(8):
-        size = F.size(f"_c{c}")
-        low = F.lit(0) if c < 7 else F.col("_left")
-        options = F.when(low <= F.least(size, F.col("_left")), F.sequence(low, F.least(size, F.col("_left"))))
-        state = state.withColumn("_k", F.explode(options))
-        taken = F.slice(f"_c{c}", F.lit(1), F.col("_k"))
-        added = {
-            "_points": F.col("_points") + F.aggregate(taken, F.lit(0).cast("bigint"), lambda a, m: a + m["points"]),
-            "_ids": F.concat("_ids", F.transform(taken, lambda m: m["id"])),
-        }
-        added |= {f"_got{f}": F.col(f"_got{f}") + F.col("_k") for f, v in FLAGS.items() if c & v}
-        state = state.withColumns(added).withColumn("_left", F.col("_left") - F.col("_k")).drop("_k", f"_c{c}")
-    small = F.col("_n") <= STARTERS
-    meets = lambda f, need: (F.col(f"_has{f}") < need) | (F.col(f"_got{f}") >= need)
-    full = state.where((F.col("_left") == 0) & (small | (meets("G", 2) & meets("F", 2) & meets("C", 1))))
-    choice = F.struct((-F.col("_points")).alias("rank"), F.array_sort("_ids").alias("ids"), F.col("_points").alias("points"))
-    best = full.groupBy(*keys).agg(F.min(choice).alias("_best"))
-    fallback = top_rows(tagged, keys, [F.desc("_points"), "personId"], STARTERS).groupBy(*keys).agg(
-        F.array_sort(F.collect_list("personId")).alias("_top"), F.sum("_points").alias("_top_points")
+    place = F.row_number().over(Window.partitionBy(*keys, "_class").orderBy(F.desc("_points"), "personId"))
+    tagged = tagged.withColumns(
+        {"_place": place, "_n": F.count("*").over(team)}
+        | {f"_has{f}": F.count_if(F.col("_class").bitwiseAND(v) > 0).over(team) for f, v in FLAGS.items()}
+    ).where(F.col("_place") <= STARTERS)
+    member = F.struct("_place", F.col("personId").cast("bigint").alias("id"), F.col("_points").alias("points"))
+    classes = tagged.groupBy(*keys).agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("_class") == c, member))).alias(f"_c{c}") for c in range(8)],
+        *[F.first(c).alias(c) for c in ("_n", "_hasG", "_hasF", "_hasC")],
     )
-    chosen = fallback.join(best, keys, "left")
-    return chosen.select(
-        *keys, F.coalesce("_best.ids", "_top").alias("lineup"),
-        (F.coalesce("_best.points", "_top_points") / 1000.0).alias("total_score"),
+
+    def extend(vectors: Column, c: int) -> Column:
+        """Every way of taking 0, 1, ... players of class ``c`` on top of each vector."""
+        def take(s, k):
+            taken = F.slice(f"_c{c}", F.lit(1), k)
+            got = lambda f: s[f] + k if c & FLAGS[f] else s[f]
+            return F.struct(
+                (s["left"] - k).alias("left"), got("G").alias("G"), got("F").alias("F"), got("C").alias("C"),
+                F.aggregate(taken, s["points"], lambda total, m: total + m["points"]).alias("points"),
+                F.concat(s["ids"], F.transform(taken, lambda m: m["id"])).alias("ids"),
+            )
+        grown = lambda s: F.transform(F.sequence(F.lit(0), F.least(F.size(f"_c{c}"), s["left"])), lambda k: take(s, k))
+        return F.flatten(F.transform(vectors, grown))
+
+    vectors = F.array(F.struct(
+        F.least(F.lit(STARTERS), F.col("_n")).cast("int").alias("left"), F.lit(0).alias("G"), F.lit(0).alias("F"),
+        F.lit(0).alias("C"), F.lit(0).cast("bigint").alias("points"), F.array().cast("array<bigint>").alias("ids"),
+    ))
+    vectors = reduce(extend, range(8), vectors)
+    meets = lambda s: reduce(
+        lambda a, b: a & b, [(F.col(f"_has{f}") < need) | (s[f] >= need) for f, need in (("G", 2), ("F", 2), ("C", 1))]
     )
+    full = F.filter(vectors, lambda s: s["left"] == 0)
+    ranked = F.transform(full, lambda s: F.struct(
+        F.when(meets(s) | (F.col("_n") <= STARTERS), 0).otherwise(1).alias("unmet"), (-s["points"]).alias("rank"),
+        F.array_sort(s["ids"]).alias("ids"),
+    ))
+    best = classes.select(*keys, F.array_min(ranked).alias("_best"))
+    return best.select(*keys, F.col("_best.ids").alias("lineup"), (-F.col("_best.rank") / 1000.0).alias("total_score"))
 
 
 def rosters_before(features: DataFrame, cols: list[str], recent: int = RECENT_GAMES) -> DataFrame:

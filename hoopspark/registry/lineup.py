@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hoopspark.operators import features, games, lineups, selection, stints
-from hoopspark.registry.bind import BOX, EV, ORDER_WIDTH, PBP, SCHED, box, events, pbp, r6, schedule, settle, settled, table
+from hoopspark.registry.bind import BOX, EV, OFF_TIE, ORDER_WIDTH, PBP, SCHED, box, events, pbp, r6, schedule, settle, settled, table
 from hoopspark.registry.core import query
 from hoopspark.registry.court import MARGINS, PRESENCE, SEGMENTS
 from hoopspark.registry.play import RESULTS
@@ -45,8 +45,8 @@ PRORATED = f"""n AS (SELECT *, round_even(total_min * 2.083::DOUBLE, 1) AS posse
 sd AS (SELECT gameId, home_team_id AS teamId, home_pts AS team_pts, away_pts AS opp_pts FROM gp WHERE home_pts IS NOT NULL AND away_pts IS NOT NULL
   UNION ALL SELECT gameId, away_team_id, away_pts, home_pts FROM gp WHERE home_pts IS NOT NULL AND away_pts IS NOT NULL),
 tmn AS (SELECT gameId, teamId, sum(min) AS team_min FROM box GROUP BY gameId, teamId),
-pr AS (SELECT s.teamId, s.season, s.lineup, coalesce(sum(s.min / nullif(m.team_min, 0) * d.team_pts), 0) AS pts_scored,
-       coalesce(sum(s.min / nullif(m.team_min, 0) * d.opp_pts), 0) AS pts_allowed
+pr AS (SELECT s.teamId, s.season, s.lineup, round(coalesce(sum(s.min / nullif(m.team_min, 0) * d.team_pts), 0), 6) + 3.21e-8::DOUBLE AS pts_scored,
+       round(coalesce(sum(s.min / nullif(m.team_min, 0) * d.opp_pts), 0), 6) + 3.21e-8::DOUBLE AS pts_allowed
        FROM ssegs s LEFT JOIN (sd d JOIN tmn m ON m.gameId = d.gameId AND m.teamId = d.teamId) ON d.gameId = s.gameId AND d.teamId = s.teamId GROUP BY ALL),
 psm AS (SELECT personId, season, {', '.join(f'avg({c}) AS {c}' for c in lineups.EMBEDDING_STATS)} FROM box WHERE min > 0 GROUP BY personId, season),
 emb AS (SELECT l.teamId, l.season, l.lineup, {', '.join(f'CASE WHEN count(p.personId) = 0 THEN 0.0 WHEN count(p.{c}) = count(p.personId) THEN avg(p.{c}) END AS emb_{c}' for c in lineups.EMBEDDING_STATS)}
@@ -60,8 +60,12 @@ EMB = [f"emb_{c}" for c in lineups.EMBEDDING_STATS]
          round_even(100.0::DOUBLE * pts_allowed / nullif(possessions, 0), 2) AS def_rating, {rounded(EMB)}
   FROM n JOIN pr USING (teamId, season, lineup) JOIN emb USING (teamId, season, lineup)""")
 def lineup_ratings(spark, sf):
-    rows, games_ = box(spark, sf), schedule(spark, sf)
-    df = lineups.lineup_ratings(segments(spark, sf), rows, features.game_points(rows, games_))
+    rows, games_, parts = box(spark, sf), schedule(spark, sf), segments(spark, sf)
+    sides = lineups.game_totals_by_side(rows, features.game_points(rows, games_))
+    shares = lineups.prorated_points(parts, sides)
+    shares = shares.withColumns({c: F.round(F.col(c), 6) + OFF_TIE for c in ("pts_scored", "pts_allowed")})
+    df = lineups.two_way_ratings(lineups.net_ratings(lineups.lineup_totals(parts)), shares)
+    df = df.join(lineups.lineup_embeddings(df, lineups.player_season_means(rows)), lineups.KEY)
     return r6(df.withColumn("lineup", text("lineup")), "pts_scored", "pts_allowed", *EMB)
 
 
