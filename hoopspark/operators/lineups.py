@@ -15,8 +15,12 @@ KEY = ["teamId", "season", "lineup"]
 
 
 def lineup_totals(segments: DataFrame) -> DataFrame:
-    """Games and minutes of each lineup of a team and season, and its net points when segments carry them."""
-    sums = [F.countDistinct("gameId").alias("games"), half_even(F.sum("min"), 1).alias("total_min")]
+    """Games and minutes of each lineup of a team and season, and its net points when segments carry them.
+
+    Minutes are added in whole hundredths, so the total does not depend on the order of the rows.
+    """
+    hundredths = F.sum(F.round(F.col("min") * 100).cast("bigint")) / 100.0
+    sums = [F.countDistinct("gameId").alias("games"), half_even(hundredths, 1).alias("total_min")]
     if "net_pts" in segments.columns:
         sums.append(half_even(F.sum("net_pts"), 1).alias("net_pts"))
     return segments.groupBy(*KEY).agg(*sums)

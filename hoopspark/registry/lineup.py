@@ -18,7 +18,7 @@ def text(c):
 
 
 FIVES = f"{PBP}, {SCHED}, {PRESENCE}, {SEGMENTS}, {MARGINS}"
-TOTALS = """lt AS (SELECT teamId, season, lineup, any_value(ids) AS ids, count(DISTINCT gameId) AS games, round_even(sum(min), 1) AS total_min,
+TOTALS = """lt AS (SELECT teamId, season, lineup, any_value(ids) AS ids, count(DISTINCT gameId) AS games, round_even(sum(round(min * 100)::BIGINT)::BIGINT / 100.0::DOUBLE, 1) AS total_min,
   round_even(sum(net_pts), 1) AS net_pts FROM ssegs GROUP BY teamId, season, lineup)"""
 BOX_ONLY = BOX.replace(EV + ",\n", "", 1)
 
