@@ -118,8 +118,8 @@ def top_rows(df: DataFrame, keys, order, n: int) -> DataFrame:
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
-def _ranges(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn("_rng", F.floor(F.col(order) / F.lit(int(width))))
+def _ranges(df: DataFrame, order: str, width: float) -> DataFrame:
+    return df.withColumn("_rng", F.floor(F.col(order) / F.lit(width)))
 
 
 def last_before(

@@ -62,6 +62,11 @@ def _defence() -> list[Column]:
     return [_count(F.col("actionType") == "steal").alias("stl"), _count(F.col("actionType") == "block").alias("blk")]
 
 
+def running_counts() -> list[Column]:
+    """Counters, shots and defence, for one aggregate over a player's own rows."""
+    return [*_counters(), *_made_and_tried(), *_defence()]
+
+
 def identity(pbp: DataFrame) -> DataFrame:
     """First non-empty name, team, code and season of a player in a game."""
     return player_rows(pbp).groupBy(*KEY).agg(*_identity()).where(F.col("playerName").isNotNull())

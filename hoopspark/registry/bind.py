@@ -42,9 +42,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf: str) -> DataFrame:
+def events(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     """Events with player, team, opponent, game, season and home flag; byes are left out."""
-    raw = table(spark, sf, "events").select(
+    raw = (table(spark, sf, "events") if rows is None else rows).select(
         "event_id", "ts", "user_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
         F.to_date("ts").alias("game_date"),
@@ -151,13 +151,12 @@ SCHED = """sched AS (
   FROM ev)"""
 
 
-def pbp(spark: SparkSession, sf: str) -> DataFrame:
-    """Play-by-play rows: events as actions, plus period starts and ends of every game."""
-    ev = events(spark, sf)
+def actions(ev: DataFrame) -> DataFrame:
+    """Events as play-by-play actions."""
     micros = "(CAST(hour(ts) * 3600 + minute(ts) * 60 AS BIGINT) * 1000000 + CAST(extract(SECOND FROM ts) * 1000000 AS BIGINT))"
     used = "((hour(ts) % 6) * 3600 + minute(ts) * 60 + CAST(floor(extract(SECOND FROM ts)) AS INT)) div 30"
-    actions = ev.select(
-        "gameId", "season",
+    return ev.select(
+        "ts", "gameId", "season",
         F.expr(f"{micros} * 1000 + user_id % 1000").alias("orderNumber"),
         F.col("event_id").alias("actionNumber"),
         F.expr("hour(ts) div 6 + 1").cast("int").alias("period"),
@@ -183,6 +182,11 @@ def pbp(spark: SparkSession, sf: str) -> DataFrame:
         F.expr("CASE WHEN event_type = 'view' AND k % 2 = 0 THEN k % 11 END").alias("assistTotal"),
         F.expr("CASE WHEN event_type = 'purchase' AND k % 4 = 2 THEN (user_id div 10) * 10 + (user_id + 3) % 10 END").alias("foulDrawnPersonId"),
     )
+
+
+def pbp(spark: SparkSession, sf: str) -> DataFrame:
+    """Play-by-play rows: events as actions, plus period starts and ends of every game."""
+    ev = events(spark, sf)
     games = ev.select("gameId", "season").distinct()
     marks = games.select("gameId", "season", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("period"))
     marks = marks.select("gameId", "season", "period", F.explode(F.array(F.lit("start"), F.lit("end"))).alias("subType"))
@@ -193,7 +197,7 @@ def pbp(spark: SparkSession, sf: str) -> DataFrame:
         "period", F.expr("CASE subType WHEN 'start' THEN 'PT12M00.00S' ELSE 'PT00M00.00S' END").alias("clock"),
         F.lit("period").alias("actionType"), "subType",
     )
-    return actions.unionByName(periods, allowMissingColumns=True)
+    return actions(ev).drop("ts").unionByName(periods, allowMissingColumns=True)
 
 
 PBP = f"""{EV},

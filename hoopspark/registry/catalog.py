@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hoopspark.registry import court, lineup, play, series  # noqa: F401  (each import registers its queries)
+from hoopspark.registry import court, feeds, learned, lineup, outlook, play, series  # noqa: F401  (each import registers its queries)
 from hoopspark.registry.core import query
 
 
