@@ -12,6 +12,7 @@ from hoopspark.registry.core import query
 from hoopspark.registry.court import COUNTERS, DEFENCE, SHOTS
 from hoopspark.registry.play import GAME_ROWS, MEAN_COLS, game_scores, game_table
 from hoopspark.registry.series import ELO, EWMA, FEAT, MATRIX, POINTS, SEASON, games_with_league, matrix, rounded
+from hoopspark.session import work_folder
 from hoopspark.streaming import live
 
 FOLD_SQL = """fo AS (SELECT *, row_number() OVER (ORDER BY game_date, gameId, personId) - 1 AS place, count(*) OVER () AS n, count(*) OVER () // 6 AS size FROM box)"""
@@ -134,10 +135,10 @@ def event_stream(spark, sf):
 def latest_live_scores(spark, sf):
     snapshots = event_stream(spark, sf).select(
         F.col("gameId").cast("string").alias("game_id"), "ts", F.col("k").alias("home_score"), F.col("event_id").alias("snapshot"))
-    return live.drain(live.latest_scores(snapshots), ["game_id"], live.work_folder(spark)).drop("as_of")
+    return live.drain(live.latest_scores(snapshots), ["game_id"], work_folder(spark, "stream")).drop("as_of")
 
 
 @query("running_box_scores", f"WITH {PBP}, {SHOTS}, {COUNTERS}, {DEFENCE} SELECT * FROM shots JOIN counters USING (gameId, personId) JOIN defence USING (gameId, personId)")
 def running_box_scores(spark, sf):
     plays = actions(event_stream(spark, sf))
-    return live.drain(live.running_box(plays.unionByName(plays)), ["gameId", "personId"], live.work_folder(spark))
+    return live.drain(live.running_box(plays.unionByName(plays)), ["gameId", "personId"], work_folder(spark, "stream"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -37,3 +38,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="hoopspark-checkpoint-")
     context.setCheckpointDir(folder)
+
+
+def work_folder(spark: SparkSession, name: str = "table") -> str:
+    """A fresh folder beside the checkpoints, in the shared folder the cluster names."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a frame as a table in the shared folder and read it back: computed once, short lineage, and
+    safe when executors are lost."""
+    folder = work_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
