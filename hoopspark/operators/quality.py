@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hoopspark.functions.scalars import half_even
+from hoopspark.functions.windows import running_state
 
 COMPARED = ["pts", "reb", "oreb", "dreb", "ast", "stl", "blk", "tov", "pf", "fgm", "fga", "fg3m", "fg3a", "ftm", "fta"]
 
@@ -13,13 +14,16 @@ COMPARED = ["pts", "reb", "oreb", "dreb", "ast", "stl", "blk", "tov", "pf", "fgm
 def sampled_games(games: DataFrame, fraction: float = 0.05, seed: int = 42) -> DataFrame:
     """A fixed share of each season's games, at least one, the same on every run.
 
-    The games are ranked by a hash of their id; the input is one row per game.
+    The games with the smallest hashes are taken. Ranks are counted by ranges of the hash, so a season is
+    never sorted in one task.
     """
     ids = games.select("season", "gameId").distinct()
-    mixed = F.md5(F.concat_ws(":", F.col("gameId").cast("string"), F.lit(str(seed))))
-    season = Window.partitionBy("season")
-    ranked = ids.withColumns({"_r": F.row_number().over(season.orderBy(mixed, "gameId")), "_n": F.count("*").over(season)})
-    return ranked.where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * fraction))).select("season", "gameId")
+    digest = F.md5(F.concat_ws(":", F.col("gameId").cast("string"), F.lit(str(seed))))
+    mixed = ids.withColumns({"_mix": F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), "_one": F.lit(1)})
+    ranked = running_state(mixed, ["season"], "_mix", {"_rank": "_one"}, {"_next": "_mix"}, 1 << 50)
+    sizes = ids.groupBy("season").agg(F.count("*").alias("_n"))
+    wanted = F.greatest(F.lit(1), F.floor(F.col("_n") * fraction))
+    return ranked.join(sizes, "season").where(F.col("_rank") <= wanted).select("season", "gameId")
 
 
 def reconcile(official: DataFrame, ours: DataFrame, stats=COMPARED, keys=("gameId", "personId")) -> DataFrame:

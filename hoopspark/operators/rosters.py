@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hoopspark.functions.scalars import clock_label, normal_name
@@ -83,12 +83,13 @@ def current_rosters(listed: DataFrame, trades: DataFrame) -> DataFrame:
 
 
 def rosters_by_team(roster: DataFrame, teams: DataFrame, team: str | None = None) -> DataFrame:
-    """One row per team with its players sorted by name."""
+    """Roster rows with their team's name, colour and logo, in team and player order.
+
+    The grouping is an order of rows, which Spark sorts by ranges, not one list per team.
+    """
     rows = roster if team is None else roster.where(F.col("team_tri") == team.upper())
-    grouped = rows.groupBy("team_tri").agg(
-        F.array_sort(F.collect_list(F.struct("player_name", F.col("primary_pos").alias("position"), "source"))).alias("players")
-    )
-    return decorate(grouped, teams, "team_tri", "team")
+    placed = decorate(rows.withColumnRenamed("primary_pos", "position"), teams, "team_tri", "team")
+    return placed.orderBy("team_tri", "player_name", "source")
 
 
 def injury_list(report: DataFrame, team: str | None = None, search: str | None = None) -> DataFrame:
@@ -100,11 +101,13 @@ def injury_list(report: DataFrame, team: str | None = None, search: str | None =
 
 
 def injuries_by_team(report: DataFrame) -> DataFrame:
-    """Players per team in status order, with the counts of sure and possible absences."""
-    player = F.struct("status_order", "player_name", "status")
-    return injury_list(report).groupBy("team_tri").agg(
-        F.array_sort(F.collect_list(player)).alias("players"), *_counts()
-    )
+    """The injury list in team and status order."""
+    return injury_list(report).orderBy("team_tri", "status_order", "player_name")
+
+
+def injury_counts_by_team(report: DataFrame) -> DataFrame:
+    """Listed players, sure absences and possible ones per team."""
+    return report.groupBy("team_tri").agg(F.count("*").alias("listed"), *_counts())
 
 
 def _counts() -> list[Column]:
@@ -164,9 +167,3 @@ def unified_games(schedule: DataFrame, live: DataFrame) -> DataFrame:
         F.when(is_live, F.col("l.period")).alias("period"), F.when(is_live, F.col("l.game_clock")).alias("clock"),
         F.when(going, 0).when(final, 2).otherwise(1).alias("sort_key"),
     )
-
-
-def latest_per_player(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Newest row per key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("game_date"), F.desc("gameId"))
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

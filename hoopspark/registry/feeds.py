@@ -195,12 +195,16 @@ def injury_list(spark, sf):
     return rosters.injury_list(report(spark, sf), search="00001")
 
 
-@query("injuries_by_team", f"""WITH {REPORT} SELECT team_tri, count(*) AS listed, count(*) FILTER (status_rank >= 4) AS out_count,
-  count(*) FILTER (status_rank BETWEEN 2 AND 3) AS questionable_count, arg_min(player_name, ((CASE WHEN status LIKE 'Out%' THEN 0 ELSE 1 END), player_name)) AS first_out FROM report GROUP BY team_tri""")
+@query("injuries_by_team", f"""WITH {REPORT} SELECT team_tri, player_name, status, CASE WHEN status LIKE 'Out%' THEN 0 WHEN status = 'Injured Reserve' THEN 1 WHEN status = 'Suspension' THEN 2 WHEN status = 'Doubtful' THEN 3
+  WHEN status = 'Questionable' THEN 4 WHEN status = 'Game Time Decision' THEN 5 WHEN status = 'Day-To-Day' THEN 6 WHEN status = 'Probable' THEN 7 ELSE 99 END AS status_order FROM report ORDER BY 1, 4, 2""")
 def injuries_by_team(spark, sf):
-    df = rosters.injuries_by_team(report(spark, sf))
-    return df.select("team_tri", F.size("players").cast("bigint").alias("listed"), "out_count", "questionable_count",
-                     F.get("players", F.lit(0))["player_name"].alias("first_out"))
+    return rosters.injuries_by_team(report(spark, sf)).select("team_tri", "player_name", "status", "status_order")
+
+
+@query("injury_counts_by_team", f"""WITH {REPORT} SELECT team_tri, count(*) AS listed, count(*) FILTER (status_rank >= 4) AS out_count,
+  count(*) FILTER (status_rank BETWEEN 2 AND 3) AS questionable_count FROM report GROUP BY team_tri""")
+def injury_counts_by_team(spark, sf):
+    return rosters.injury_counts_by_team(report(spark, sf))
 
 
 @query("injury_counts", f"WITH {REPORT} SELECT count(*) FILTER (status_rank >= 4) AS out_count, count(*) FILTER (status_rank BETWEEN 2 AND 3) AS questionable_count FROM report")
@@ -269,11 +273,9 @@ COLORS = [t[2] for t in teams.TEAMS]
 
 
 @query("rosters_by_team", f"""WITH {MOVED} SELECT team_tri, {NAMES!r}[list_position({CODES!r}, team_tri)] AS team_name, {COLORS!r}[list_position({CODES!r}, team_tri)] AS team_color,
-  count(*)::INTEGER AS players, string_agg(player_name || ':' || primary_pos, ';' ORDER BY player_name) AS names FROM moved GROUP BY team_tri""")
+  player_name, primary_pos AS position, source FROM moved ORDER BY team_tri, player_name""")
 def rosters_by_team(spark, sf):
-    df = rosters.rosters_by_team(moved(spark, sf), teams.team_dimension(spark))
-    names = F.concat_ws(";", F.transform("players", lambda p: F.concat(p["player_name"], F.lit(":"), p["position"])))
-    return df.select("team_tri", "team_name", "team_color", F.size("players").alias("players"), names.alias("names"))
+    return rosters.rosters_by_team(moved(spark, sf), teams.team_dimension(spark)).drop("team_logo")
 
 
 @query("decorated_schedule", f"""SELECT game_id, home_tri, away_tri, {NAMES!r}[list_position({CODES!r}, home_tri)] AS home_name, {NAMES!r}[list_position({CODES!r}, away_tri)] AS away_name,
