@@ -14,6 +14,7 @@ from hoopspark.registry.play import RESULTS
 from hoopspark.registry.series import (
     EFF_COLS, ELO, ELO_JOIN, EWMA, LOADS, MATRIX, SEASON, base, games_with_league, matrix, rounded, with_minutes,
 )
+from hoopspark.session import written
 from hoopspark.sources import feeds
 from hoopspark.sources.positions import latest_positions
 
@@ -26,10 +27,11 @@ matp AS MATERIALIZED (SELECT m.gameId, m.season, m.game_date, m.personId, m.play
 
 
 def rated(spark, sf):
-    """Feature matrix with team ratings, rounded so that both engines predict from the same numbers."""
+    """Feature matrix with team ratings, written once as the table the predictions read; rounded so that both
+    engines predict from the same numbers."""
     ratings = elo.elo_ratings(games_with_league(spark, sf), "league")
     rows = elo.attach_elo(matrix(spark, sf), ratings, schedule(spark, sf))
-    return r6(settle(rows, *USED), "team_elo")
+    return written(r6(settle(rows, *USED), "team_elo"), "features")
 
 
 def live_roster(spark, sf):
@@ -282,9 +284,10 @@ DELTAS = ["net_rating", "win_pct"]
 
 @query("trade_impact", f"""WITH RECURSIVE {MATP}, {POSITIONS}, {POOL}, {TRADE}, {strength_sql('pre', 'tpool')}, {strength_sql('post', 'tafter')},
   t AS (SELECT teamTricode FROM tpool JOIN tmove USING (personId) UNION SELECT to_team FROM tmove)
-  SELECT t.teamTricode, a.score AS pre_score, b.score AS post_score, round(b.score - a.score, 6) AS score_delta, {', '.join(f'round(a.{c}, 6) AS pre_{c}, round(b.{c}, 6) AS post_{c}, round(b.{c} - a.{c}, 6) AS {c}_delta' for c in DELTAS)}
+  SELECT t.teamTricode, a.score AS pre_score, b.score AS post_score, round(b.score - a.score, 6) AS score_delta, {', '.join(f'round(a.{c} + 3.21e-8::DOUBLE, 6) AS pre_{c}, round(b.{c} + 3.21e-8::DOUBLE, 6) AS post_{c}, round(b.{c} - a.{c} + 3.21e-8::DOUBLE, 6) AS {c}_delta' for c in DELTAS)}
   FROM t JOIN pre a ON a.teamTricode = t.teamTricode JOIN post b ON b.teamTricode = t.teamTricode""")
 def trade_impact(spark, sf):
     pool = selection.scored_pool(pool_of(spark, sf), latest_positions(positions(spark, sf)))
     moves = pool.where("personId % 10 = 4").select("personId", F.expr("concat('T', personId div 50 * 5 + ((personId div 10) % 5 + 1) % 5)").alias("to_team"))
-    return r6(reports.trade_impact(pool, moves), "score_delta", *[f"{p}{c}{s}" for c in DELTAS for p, s in (("pre_", ""), ("post_", ""), ("", "_delta"))])
+    changed = reports.trade_impact(pool, moves)
+    return r6(settle(changed, *[f"{p}{c}{s}" for c in DELTAS for p, s in (("pre_", ""), ("post_", ""), ("", "_delta"))]), "score_delta")
