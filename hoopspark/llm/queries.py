@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hoopspark.llm import chat, decontam, line_clean
+from hoopspark.llm import chat, decontam, line_clean, packing, token_files, toxicity
 from hoopspark.llm.shared import table
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, size=2048)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, vocabulary=49_408)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_clean.clean_lines(table(spark, sf_dir, "documents")).drop("clean_text", "kept_words")
 
@@ -85,9 +103,11 @@ FROM f GROUP BY conv_id"""
 
 
 def queries() -> dict:
-    return {"op8_line_cleaning": op8_line_cleaning, "op9_decontamination": op9_decontamination,
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op4_token_files": op4_token_files, "op6_toxicity": op6_toxicity,
+            "op8_line_cleaning": op8_line_cleaning, "op9_decontamination": op9_decontamination,
             "op10_chat_formatting": op10_chat_formatting}
 
 
 def oracle_sql() -> dict:
-    return {"op8_line_cleaning": _OP8, "op9_decontamination": _OP9, "op10_chat_formatting": _OP10}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op4_token_files": op4_token_files, "op6_toxicity": op6_toxicity,
+            "op8_line_cleaning": _OP8, "op9_decontamination": _OP9, "op10_chat_formatting": _OP10}
