@@ -1,21 +1,22 @@
-"""Token ids of whole texts, from the tokenizers library, with ids of repeated words kept per Python worker.
+"""Token ids of whole texts, from the tokenizers library, with ids of repeated parts kept per Python worker.
 
-Byte- and word-level pre-tokenizers always cut before a space that a visible character follows, so a text's ids are the
-ids of the parts between such places one after another. Distinct parts are encoded once while they fit the memory of the
-worker; a text with other white space runs (a space before white space, or at the end) goes to the library whole.
+Byte- and word-level pre-tokenizers always cut before a space that a visible character follows, around a lone line feed,
+and between a letter and the full stops and commas that end such a part, so a text's ids are the ids of the parts between
+these places one after another. Distinct parts are encoded once while they fit the memory of the worker; a text with other
+runs of white space (a space before white space, or at the end) goes to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
-
-KEPT_PARTS = 300_000
+KEPT_PARTS = 400_000
 PART_CHARS = 48            # longer parts are not kept
-_WHOLE = re.compile(r"\x00| (?=\s)| $")
-_open: dict[tuple, "Encoder"] = {}
+CLOSING = ".,;:!?"
+_WHOLE = re.compile(r"\x00| (?=\s)| $|\n(?=\s)|\n$|^\n")
+_open: dict[str, "Encoder"] = {}
 
 
 class Encoder:
@@ -26,23 +27,36 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _add(self, parts: list[str], to: dict[str, bytes]) -> None:
+        for i in range(0, len(parts), 20_000):
+            block = parts[i:i + 20_000]
+            for part, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False)):
+                to[part] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parts = [[t] if _WHOLE.search(t) else t.replace(" ", "\x00 ").split("\x00") for t in texts]
+        parts = [[t] if _WHOLE.search(t) else t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") for t in texts]
         if len(self.known) > KEPT_PARTS:
             self.known = {}
-        new = list(set().union(*parts) - self.known.keys())
-        once = {}
-        for i in range(0, len(new), 20_000):
-            block = new[i:i + 20_000]
-            for part, ids in zip(block, self._ids(block)):
-                (self.known if len(part) <= PART_CHARS else once)[part] = ids
+        known = self.known
+        new = set().union(*parts).difference(known)
+        once: dict[str, bytes] = {}
+        split, plain = [], set()
+        for part in new:
+            stem = part.rstrip(CLOSING)
+            if stem and stem != part and stem[-1].isalpha() and len(part) <= PART_CHARS and not _WHOLE.search(part):
+                split.append((part, stem, part[len(stem):]))
+                plain.update(split[-1][1:])
+            else:
+                plain.add(part)
+        plain.difference_update(known)
+        self._add([p for p in plain if len(p) <= PART_CHARS], known)
+        self._add([p for p in plain if len(p) > PART_CHARS], once)
+        for part, stem, tail in split:
+            known[part] = known[stem] + known[tail]
         if not once:
-            return [b"".join(map(self.known.__getitem__, p)) for p in parts]
-        return [b"".join([self.known[x] if x in self.known else once[x] for x in p]) for p in parts]
+            return [b"".join(map(known.__getitem__, p)) for p in parts]
+        return [b"".join([known[x] if x in known else once[x] for x in p]) for p in parts]
 
 
 def encoder(path: str) -> Encoder:
