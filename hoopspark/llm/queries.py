@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hoopspark.llm import chat, decontam, line_clean, ngram_join, packing, token_files, toxicity
+from hoopspark.llm import chat, decontam, line_clean, ngram_join, packing, paragraph_dedup, token_files, toxicity
 from hoopspark.llm.shared import table
 
 
@@ -23,6 +23,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.summary(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, vocabulary=49_408)
 
@@ -107,11 +111,13 @@ FROM f GROUP BY conv_id"""
 
 
 def queries() -> dict:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op2_ngram_join": op2_ngram_join, "op4_token_files": op4_token_files, "op6_toxicity": op6_toxicity,
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op2_ngram_join": op2_ngram_join, "op3_paragraph_dedup": op3_paragraph_dedup,
+            "op4_token_files": op4_token_files, "op6_toxicity": op6_toxicity,
             "op8_line_cleaning": op8_line_cleaning, "op9_decontamination": op9_decontamination,
             "op10_chat_formatting": op10_chat_formatting}
 
 
 def oracle_sql() -> dict:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op2_ngram_join": op2_ngram_join, "op4_token_files": op4_token_files, "op6_toxicity": op6_toxicity,
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op2_ngram_join": op2_ngram_join, "op3_paragraph_dedup": op3_paragraph_dedup,
+            "op4_token_files": op4_token_files, "op6_toxicity": op6_toxicity,
             "op8_line_cleaning": _OP8, "op9_decontamination": _OP9, "op10_chat_formatting": _OP10}
