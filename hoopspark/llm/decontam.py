@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hoopspark.llm.shared import fold_case, split_words
+from hoopspark.llm.shared import LIMIT_BROADCAST, fold_case, split_words
 from hoopspark.session import written
 
 APART = r"\x00-\x2F\x3A-\x60\x7B-\x7F"   # ASCII other than digits and lower-case letters
@@ -134,3 +134,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     return joined.select(F.col("_id").alias(id_col), F.col("_key").alias("text_key"), "n_words", n_hit.alias("n_hit"),
                          F.size(ids).cast("long").alias("n_items"), ids.alias("items"),
                          ((n_hit > 0) & (HIT_PARTS * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
+                      item_col: str = "item_id") -> DataFrame:
+    """The rows that are not contaminated, with their own columns."""
+    bad = written(contamination(docs, items, window, id_col, text_col, item_col).where("contaminated")
+                  .select(F.col(id_col).alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct(), "contaminated")
+    bad = F.broadcast(bad) if bad.count() <= LIMIT_BROADCAST else bad
+    own = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad_id"]) & (own == bad["_bad_key"]), "left_anti")

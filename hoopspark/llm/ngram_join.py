@@ -4,7 +4,7 @@ A text is the set of its word shingles. Shingles have one global order, rare one
 fraction t of the union with another differs from it in at most e of its own shingles; its prefix is extended until more
 than e losses are needed to break all its signatures. Rare shingles are signatures by themselves; frequent ones fall by a
 hash into classes of a few shingles per text, and combinations of k of a class are signatures (k grows with frequency), so
-a class of m shingles in the prefix stands m - k + 1 losses. The order is counted on a fixed quarter of all possible
+a class of m shingles in the prefix stands m - k + 1 losses. The order is counted on a fixed share of all possible
 shingles, which comes first in it; texts with too few shingles there take part with all of theirs. Signatures carry the
 size class of the sets, own and next smaller, so that texts of far sizes never meet.
 
@@ -32,9 +32,8 @@ from hoopspark.llm.shared import LIMIT_BROADCAST, distinct_pairs, mix, shingles,
 from hoopspark.session import written
 
 WORDS, PERCENT = 3, 90
-QUARTER = np.uint64(1 << 62)
 PAIRS_FROM, TRIPLES_FROM = 64, 4096      # documents from which a shingle is combined in twos and in threes
-PER_CLASS = 5                            # losses a class of frequent shingles should stand, about
+PER_CLASS = {2: 10, 3: 6}                # losses that a class of pairs and one of triples should stand, about
 HUB_ROUNDS = 2
 
 
@@ -72,8 +71,14 @@ def losses(n, percent: int):
     return n - -(-n * percent // 100)
 
 
-def classes_of(n: int, percent: int) -> int:
-    return max(1, losses(n, percent) // PER_CLASS)
+def classes_of(n, percent: int, kind: int):
+    return np.maximum(1, losses(n, percent) // PER_CLASS[kind])
+
+
+def share(percent: int) -> np.uint64:
+    """Hashes below this belong to the share of shingles that the order is counted on: a prefix of texts of usual length
+    fits in it."""
+    return np.uint64(min((1 << 64) - 1, int(1.9 * (100 - percent) / 100 * (1 << 64))))
 
 
 def size_edges(percent: int, up_to: int = 1 << 40) -> np.ndarray:
@@ -85,7 +90,7 @@ def size_edges(percent: int, up_to: int = 1 << 40) -> np.ndarray:
 
 
 def _tokens(words: int, percent: int):
-    """(token, set, n, quarter): the shingles that the order is counted on, once per set and task."""
+    """(token, set, n, n_first, whole): the shingles that the order is counted on, once per set and task."""
     smallest = 1
     while losses(smallest, percent) == 0 and not (smallest * 100 >= percent * (smallest + 1)):
         smallest += 1
@@ -96,31 +101,32 @@ def _tokens(words: int, percent: int):
             for _, rows, found, whose in _sets(batch, words):
                 f1 = _fingerprints(found, whose, rows)[0]
                 n = np.bincount(whose, minlength=rows)
-                quarter = np.bincount(whose, found < QUARTER, minlength=rows).astype(np.int64)
-                e = losses(n, percent)
-                few = quarter < e + 1 + 3 * np.maximum(1, e // PER_CLASS) * 1.2 + 2
+                first = found < share(percent)
+                n_first = np.bincount(whose, first, minlength=rows).astype(np.int64)
+                few = n_first < losses(n, percent) + 1 + classes_of(n, percent, 2) + 2 * classes_of(n, percent, 3)
                 new = np.array([n[i] >= smallest and f not in seen for i, f in enumerate(f1.tolist())], bool)
                 _, at = np.unique(f1, return_index=True)
                 once = np.zeros(rows, bool)
                 once[at] = True
                 new &= once
                 seen.update(f1[new].tolist())
-                keep = new[whose] & ((found < QUARTER) | few[whose])
+                keep = new[whose] & (first | few[whose])
                 w = whose[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(f1[w].view(np.int64)), pa.array(n[w].astype(np.int32)),
-                                                  pa.array(quarter[w].astype(np.int32)), pa.array(few[w])], names=["token", "f1", "n", "quarter", "whole"])
+                                                  pa.array(n_first[w].astype(np.int32)), pa.array(few[w])], names=["token", "f1", "n", "n_first", "whole"])
     return run
 
 
-def signatures_of(tokens: np.ndarray, df: np.ndarray, n: int, quarter: int, whole: bool, percent: int, edge: int) -> list[int]:
+def signatures_of(tokens: np.ndarray, df: np.ndarray, n: int, n_first: int, whole: bool, percent: int, edge: int) -> list[int]:
     """Signatures of a set for the size class that begins at edge. tokens: those that more than one set has."""
-    first = tokens < QUARTER
+    first = tokens < share(percent)
     order = np.lexsort((tokens, df, ~first))
     tokens, df, first = tokens[order], df[order], first[order]
-    n_classes, need = classes_of(edge, percent), losses(n, percent) + 1
-    alone = quarter - int(first.sum()), (n - quarter - int((~first).sum())) if whole else 0
+    need = losses(n, percent) + 1
+    alone = n_first - int(first.sum()), (n - n_first - int((~first).sum())) if whole else 0
     kinds = np.where(df < PAIRS_FROM, 1, np.where(df < TRIPLES_FROM, 2, 3))
-    group = kinds * n_classes + (mix(tokens) % np.uint64(n_classes)).astype(np.int64)
+    n_classes = np.where(kinds == 3, classes_of(edge, percent, 3), classes_of(edge, percent, 2)).astype(np.uint64)
+    group = (mix(tokens) % n_classes).astype(np.int64)
     have, members, singles, outside = alone[0], {}, [], False
     for token, kind, g, inside in zip(tokens.tolist(), kinds.tolist(), group.tolist(), first.tolist()):
         if not inside and not outside:
@@ -139,7 +145,7 @@ def signatures_of(tokens: np.ndarray, df: np.ndarray, n: int, quarter: int, whol
         raise ValueError("a prefix of all shingles is too short")
     out = [hash((edge, t)) for t in singles]
     for (kind, g), own in members.items():
-        out += [hash((edge, g) + c) for c in combinations(own, kind)]
+        out += [hash((edge, kind, g) + c) for c in combinations(own, kind)]
     return out
 
 
@@ -148,14 +154,14 @@ def _signatures(percent: int):
         edges = size_edges(percent)
         for batch in batches:
             owner, sigs, sizes = [], [], []
-            for i, (f1, n, quarter, whole, tokens, df) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)))):
+            for i, (f1, n, n_first, whole, tokens, df) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)))):
                 t, at = np.unique(np.array(tokens, np.int64).view(np.uint64), return_index=True)
                 d = np.array(df, np.int64)[at]
-                if quarter - int((t < QUARTER).sum()) > losses(n, percent):
+                if n_first - int((t < share(percent)).sum()) > losses(n, percent):
                     continue
                 b = int(np.searchsorted(edges, n, "right")) - 1
                 for edge in {int(edges[b]), int(edges[max(0, b - 1)])}:
-                    own = set(signatures_of(t, d, n, quarter, whole, percent, edge))
+                    own = set(signatures_of(t, d, n, n_first, whole, percent, edge))
                     sigs += own
                     owner += [f1] * len(own)
                     sizes += [n] * len(own)
@@ -217,11 +223,11 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     profile = written(texts.mapInArrow(_profile(words), "id long, n long, f1 long, f2 long"), "profile")
     named = profile.where("id is not null and n > 0")
     known = written(named.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "classes")
-    tokens = texts.where("id is not null").mapInArrow(_tokens(words, percent), "token long, f1 long, n int, quarter int, whole boolean")
-    tokens = tokens.select("token", F.struct("f1", "n", "quarter", "whole").alias("s"))
+    tokens = texts.where("id is not null").mapInArrow(_tokens(words, percent), "token long, f1 long, n int, n_first int, whole boolean")
+    tokens = tokens.select("token", F.struct("f1", "n", "n_first", "whole").alias("s"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(counts, "token").groupBy("s").agg(F.collect_list("token").alias("tokens"), F.collect_list("df").alias("df"))
-    raw = shared.select("s.f1", "s.n", "s.quarter", "s.whole", "tokens", "df").mapInArrow(_signatures(percent), "sig long, f1 long, n int")
+    raw = shared.select("s.f1", "s.n", "s.n_first", "s.whole", "tokens", "df").mapInArrow(_signatures(percent), "sig long, f1 long, n int")
     rows = written(raw.join(known.select("f1", F.col("n").cast("int").alias("n"), F.col("rep").alias("id")), ["f1", "n"]).select("sig", "id", "n").distinct(), "signatures")
     several = rows.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
     sigs = written(rows.join(several, "sig"), "signatures")
@@ -233,3 +239,10 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     out = profile.join(placed, ["n", "f1", "f2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of the smallest id of every component, with their own columns; rows without an id or words stay, and rows
+    that repeat an id stay or go together."""
+    gone = written(join_components(docs, words, percent, id_col, text_col).where(F.col("component_id") < F.col(id_col)).select(id_col).distinct(), "removed")
+    return docs.join(bounded(gone, gone.count()), id_col, "left_anti").select(*docs.columns)

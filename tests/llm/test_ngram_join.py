@@ -65,12 +65,14 @@ def corpus(seed, docs=260):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_equal_brute_force(frame, monkeypatch, seed):
+@pytest.mark.parametrize("seed, words, percent", [(1, 3, 90), (2, 5, 80)])
+def test_components_equal_brute_force(frame, monkeypatch, seed, words, percent):
     monkeypatch.setattr(ngram_join, "PAIRS_FROM", 4)
     monkeypatch.setattr(ngram_join, "TRIPLES_FROM", 20)
     rows = corpus(seed)
-    assert result(ngram_join.join_components(frame(rows))) == brute(rows)
+    assert result(ngram_join.join_components(frame(rows), words, percent)) == brute(rows, words, percent)
+    kept = sorted(r["doc_id"] for r in ngram_join.keep_one(frame(rows), words, percent).collect())
+    assert kept == sorted(i for i, _, c in brute(rows, words, percent) if i == c)
 
 
 def test_odd_rows(frame):
@@ -100,7 +102,7 @@ def test_a_shared_signature_for_every_linked_pair():
         if 100 * common < 90 * (2 * n - common):
             continue
         edge = int(edges[np.searchsorted(edges, n, "right") - 1])
-        own = [set(ngram_join.signatures_of(s, np.array([df[int(t)] for t in s]), n, int((s < ngram_join.QUARTER).sum()), True, 90, edge)) for s in (x, y)]
+        own = [set(ngram_join.signatures_of(s, np.array([df[int(t)] for t in s]), n, int((s < ngram_join.share(90)).sum()), True, 90, edge)) for s in (x, y)]
         assert own[0] & own[1]
 
 
