@@ -12,7 +12,7 @@ import os
 import re
 from array import array
 
-KEPT_PARTS = 400_000
+KEPT_PARTS = 1_000_000
 PART_CHARS = 48            # longer parts are not kept
 CLOSING = ".,;:!?"
 _WHOLE = re.compile(r"\x00| (?=\s)| $|\n(?=\s)|\n$|^\n")
@@ -35,7 +35,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parts = [[t] if _WHOLE.search(t) else t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") for t in texts]
+        whole = {t for t in texts if _WHOLE.search(t)}
+        parts = [[t] if t in whole else t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") for t in texts]
         if len(self.known) > KEPT_PARTS:
             self.known = {}
         known = self.known
@@ -44,7 +45,7 @@ class Encoder:
         split, plain = [], set()
         for part in new:
             stem = part.rstrip(CLOSING)
-            if stem and stem != part and stem[-1].isalpha() and len(part) <= PART_CHARS and not _WHOLE.search(part):
+            if stem != part and stem and stem[-1].isalpha() and len(part) <= PART_CHARS and part not in whole:
                 split.append((part, stem, part[len(stem):]))
                 plain.update(split[-1][1:])
             else:
