@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hoopspark.llm import chat, decontam, lattice, line_clean, ngram_join, packing, paragraph_dedup, token_files, toxicity
+from hoopspark.llm import chat, decontam, lattice, line_clean, ngram_join, packing, paragraph_dedup, suffix_dedup, token_files, toxicity
 from hoopspark.llm.shared import table
 
 
@@ -31,6 +31,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, vocabulary=49_408)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_substrings(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -116,12 +120,12 @@ FROM f GROUP BY conv_id"""
 
 def queries() -> dict:
     return {"op1_best_fit_packing": op1_best_fit_packing, "op2_ngram_join": op2_ngram_join, "op3_paragraph_dedup": op3_paragraph_dedup,
-            "op4_token_files": op4_token_files, "op6_toxicity": op6_toxicity, "op7_subword_lattice": op7_subword_lattice,
+            "op4_token_files": op4_token_files, "op5_suffix_dedup": op5_suffix_dedup, "op6_toxicity": op6_toxicity, "op7_subword_lattice": op7_subword_lattice,
             "op8_line_cleaning": op8_line_cleaning, "op9_decontamination": op9_decontamination,
             "op10_chat_formatting": op10_chat_formatting}
 
 
 def oracle_sql() -> dict:
     return {"op1_best_fit_packing": op1_best_fit_packing, "op2_ngram_join": op2_ngram_join, "op3_paragraph_dedup": op3_paragraph_dedup,
-            "op4_token_files": op4_token_files, "op6_toxicity": op6_toxicity, "op7_subword_lattice": op7_subword_lattice,
+            "op4_token_files": op4_token_files, "op5_suffix_dedup": op5_suffix_dedup, "op6_toxicity": op6_toxicity, "op7_subword_lattice": op7_subword_lattice,
             "op8_line_cleaning": _OP8, "op9_decontamination": _OP9, "op10_chat_formatting": _OP10}
