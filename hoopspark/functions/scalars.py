@@ -25,6 +25,18 @@ def half_even(x, digits: int) -> Column:
     return F.rint(col(x) * F.lit(scale)) / F.lit(scale)
 
 
+def exact_ratio(numerator, denominator, digits: int) -> Column:
+    """Quotient of two whole numbers rounded to ``digits`` decimals, ties to the even neighbour, decided on integers: the
+    last bit of a floating sum never picks the side. Null where the denominator is 0 or null."""
+    top, base = (col(c).cast("bigint") for c in (numerator, denominator))
+    base = F.nullif(base, F.lit(0).cast("bigint"))
+    scaled, size = F.abs(top) * 10**digits, F.abs(base)
+    whole = F.call_function("div", scaled, size)
+    twice = 2 * F.pmod(scaled, size)
+    up = F.when((twice > size) | ((twice == size) & (F.pmod(whole, F.lit(2)) == 1)), 1).otherwise(0)
+    return F.signum(top) * F.signum(base) * (whole + up) / F.lit(float(10**digits))
+
+
 def ratio(numerator, denominator) -> Column:
     """Quotient in doubles, null where the denominator is 0 or null."""
     return col(numerator).cast("double") / F.nullif(col(denominator).cast("double"), F.lit(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hoopspark.functions.scalars import half_even, ratio
+from hoopspark.functions.scalars import exact_ratio, half_even
 
 KEY = ["gameId", "personId"]
 COUNTERS = {
@@ -138,27 +138,28 @@ def assemble(totals: DataFrame, minutes: DataFrame) -> DataFrame:
 
 
 def shooting_ratios(box: DataFrame) -> DataFrame:
-    """Shooting percentages to three decimals, null without attempts."""
+    """Shooting percentages to three decimals, null without attempts; whole numbers on both sides of each quotient."""
     pairs = {
         "fg_pct": (F.col("fgm"), F.col("fga")),
         "fg3_pct": (F.col("fg3m"), F.col("fg3a")),
         "ft_pct": (F.col("ftm"), F.col("fta")),
-        "efg_pct": (F.col("fgm") + 0.5 * F.col("fg3m"), F.col("fga")),
-        "ts_pct": (F.col("pts"), 2 * (F.col("fga") + 0.44 * F.col("fta"))),
+        "efg_pct": (2 * F.col("fgm") + F.col("fg3m"), 2 * F.col("fga")),
+        "ts_pct": (100 * F.col("pts"), 200 * F.col("fga") + 88 * F.col("fta")),
     }
-    return box.withColumns({name: half_even(ratio(n, d), 3) for name, (n, d) in pairs.items()})
+    return box.withColumns({name: exact_ratio(n, d, 3) for name, (n, d) in pairs.items()})
 
 
 def usage(box: DataFrame) -> DataFrame:
-    """Team possessions, share of them used, and rates per 36 minutes.
+    """Team possessions, share of them used, and rates per 36 minutes, from whole hundredths of possessions and minutes.
 
     The team total is a window over the player-game rows of one team, at most a roster long.
     """
-    used = F.col("fga") - F.col("oreb") + F.col("tov") + 0.44 * F.col("fta")
-    with_team = box.withColumn("team_poss", F.sum(used).over(Window.partitionBy("gameId", "teamId")))
-    spent = F.col("fga") + 0.44 * F.col("fta") + F.col("tov")
-    rates = {f"{c}_per36": half_even(ratio(36.0 * F.col(c), "min"), 1) for c in ("pts", "reb", "ast")}
-    return with_team.withColumns({"usg_pct": half_even(ratio(spent, "team_poss"), 3), **rates})
+    used = 100 * (F.col("fga") - F.col("oreb") + F.col("tov")) + 44 * F.col("fta")
+    with_team = box.withColumn("_team", F.sum(used.cast("bigint")).over(Window.partitionBy("gameId", "teamId")))
+    spent = 100 * (F.col("fga") + F.col("tov")) + 44 * F.col("fta")
+    minutes = F.round(F.col("min") * 100).cast("bigint")
+    rates = {f"{c}_per36": exact_ratio(3600 * F.col(c), minutes, 1) for c in ("pts", "reb", "ast")}
+    return with_team.withColumns({"team_poss": F.col("_team") / 100.0, "usg_pct": exact_ratio(spent, "_team", 3), **rates}).drop("_team")
 
 
 def clean(box: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hoopspark.functions.scalars import clock_seconds, half_even, period_seconds
+from hoopspark.functions.scalars import clock_seconds, exact_ratio, half_even, period_seconds
 from hoopspark.functions.windows import last_before, running_state
 
 CLOSING_ORDER = 1 << 61
@@ -189,8 +189,9 @@ def presence(pbp: DataFrame, width: int | None = None) -> DataFrame:
 
 def minutes(pbp: DataFrame, width: int | None = None) -> DataFrame:
     """Minutes on court per player-game, one decimal."""
-    spent = F.greatest(F.lit(0.0), F.col("entry_clock") - F.col("exit_clock")) / 60.0
-    return presence(pbp, width).groupBy(*PLAYER).agg(half_even(F.sum(spent), 1).alias("min"))
+    entry, exit_ = (F.round(100 * F.col(c)).cast("bigint") for c in ("entry_clock", "exit_clock"))
+    spent = presence(pbp, width).groupBy(*PLAYER).agg(F.sum(F.greatest(F.lit(0).cast("bigint"), entry - exit_)).alias("_hundredths"))
+    return spent.select(*PLAYER, exact_ratio("_hundredths", F.lit(6000), 1).alias("min"))
 
 
 def rosters(pbp: DataFrame) -> DataFrame:

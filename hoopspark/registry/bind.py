@@ -114,20 +114,25 @@ rb AS (
 RAW_BOX = RAW_BOX.replace("FROM ev GROUP BY ALL", "FROM ev GROUP BY gameId, season, game_date, user_id, teamId")
 
 
-def pct(num: str, den: str, digits: int = 3) -> str:
-    return f"round_even(({num}) / nullif(({den}) * 1.0::DOUBLE, 0), {digits})"
+def exact(num: str, den: str, digits: int = 3) -> str:
+    """Quotient of two whole numbers, rounded half to even on integers."""
+    top, base = f"(abs({num})::BIGINT * {10**digits})", f"nullif(abs({den})::BIGINT, 0)"
+    up = f"CASE WHEN 2 * ({top} % {base}) > {base} OR (2 * ({top} % {base}) = {base} AND ({top} // {base}) % 2 = 1) THEN 1 ELSE 0 END"
+    return f"(sign({num}) * sign({den}) * ({top} // {base} + {up}) / {float(10**digits)}::DOUBLE)"
+
+
+RATIOS = f"""{exact('fgm', 'fga')} AS fg_pct, {exact('fg3m', 'fg3a')} AS fg3_pct, {exact('ftm', 'fta')} AS ft_pct,
+         {exact('(2 * fgm + fg3m)', '(2 * fga)')} AS efg_pct, {exact('(100 * pts)', '(200 * fga + 88 * fta)')} AS ts_pct"""
+USAGE = f"""{exact('(100 * (fga + tov) + 44 * fta)', 'round(team_poss * 100)')} AS usg_pct,
+         {', '.join(f"{exact(f'(3600 * {c})', 'round(min * 100)', 1)} AS {c}_per36" for c in ('pts', 'reb', 'ast'))}"""
+TEAM_POSS = "sum(100 * (fga - oreb + tov) + 44 * fta) OVER (PARTITION BY gameId, teamId) / 100.0::DOUBLE AS team_poss"
 
 
 BOX = f"""{RAW_BOX},
-bt AS (SELECT *, sum(fga - oreb + tov + 0.44::DOUBLE * fta) OVER (PARTITION BY gameId, teamId) AS team_poss FROM rb),
+bt AS (SELECT *, {TEAM_POSS} FROM rb),
 box AS MATERIALIZED (
-  SELECT *, {pct('fgm', 'fga')} AS fg_pct, {pct('fg3m', 'fg3a')} AS fg3_pct, {pct('ftm', 'fta')} AS ft_pct,
-         {pct('fgm + 0.5::DOUBLE * fg3m', 'fga')} AS efg_pct,
-         {pct('pts', '2 * (fga + 0.44::DOUBLE * fta)')} AS ts_pct,
-         {pct('fga + 0.44::DOUBLE * fta + tov', 'team_poss')} AS usg_pct,
-         {pct('36.0::DOUBLE * pts', 'min', 1)} AS pts_per36,
-         {pct('36.0::DOUBLE * reb', 'min', 1)} AS reb_per36,
-         {pct('36.0::DOUBLE * ast', 'min', 1)} AS ast_per36
+  SELECT *, {RATIOS},
+         {USAGE}
   FROM bt)"""
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hoopspark.operators import boxscore, stints
 from hoopspark.functions.scalars import clock_seconds, period_seconds
-from hoopspark.registry.bind import ORDER_WIDTH, PBP, SCHED, pbp, pct, r6, schedule
+from hoopspark.registry.bind import RATIOS, TEAM_POSS, USAGE, exact, ORDER_WIDTH, PBP, SCHED, pbp, r6, schedule
 from hoopspark.registry.core import query
 
 IDENT = """ident AS (
@@ -74,8 +74,8 @@ pres AS (
   SELECT gameId, personId, cp AS period, entry_clock, CASE kind WHEN 'O' THEN clock ELSE 0 END AS exit_clock,
          start_ord, start_clock, start_kind, ord AS end_ord
   FROM c5 WHERE present AND kind IN ('O', 'E', 'Z'))"""
-MINUTES = """mins AS (SELECT gameId, personId, round_even(sum(greatest(0, entry_clock - exit_clock) / 60), 1) AS min
-  FROM pres GROUP BY gameId, personId)"""
+MINUTES = """mins AS (SELECT gameId, personId, {minutes} AS min
+  FROM pres GROUP BY gameId, personId)""".format(minutes=exact("sum(greatest(0, round(100 * entry_clock)::BIGINT - round(100 * exit_clock)::BIGINT))", "6000", 1))
 SEGMENTS = """people AS (
   SELECT p.*, t.teamId, t.season FROM pres p JOIN
     (SELECT gameId, personId, arg_min(teamId, orderNumber) AS teamId, max(season) AS season FROM acts GROUP BY ALL) t
@@ -155,13 +155,10 @@ asm AS (
   FROM ident i LEFT JOIN counters USING (gameId, personId) LEFT JOIN shots USING (gameId, personId)
   LEFT JOIN defence USING (gameId, personId) LEFT JOIN drawn USING (gameId, personId)
   LEFT JOIN assists USING (gameId, personId) LEFT JOIN mins USING (gameId, personId)),
-asm2 AS (SELECT *, sum(fga - oreb + tov + 0.44::DOUBLE * fta) OVER (PARTITION BY gameId, teamId) AS team_poss FROM asm),
+asm2 AS (SELECT *, {TEAM_POSS} FROM asm),
 fullbox AS (
-  SELECT *, {pct('fgm', 'fga')} AS fg_pct, {pct('fg3m', 'fg3a')} AS fg3_pct, {pct('ftm', 'fta')} AS ft_pct,
-         {pct('fgm + 0.5::DOUBLE * fg3m', 'fga')} AS efg_pct, {pct('pts', '2 * (fga + 0.44::DOUBLE * fta)')} AS ts_pct,
-         {pct('fga + 0.44::DOUBLE * fta + tov', 'team_poss')} AS usg_pct,
-         {pct('36.0::DOUBLE * pts', 'min', 1)} AS pts_per36, {pct('36.0::DOUBLE * reb', 'min', 1)} AS reb_per36,
-         {pct('36.0::DOUBLE * ast', 'min', 1)} AS ast_per36
+  SELECT *, {RATIOS},
+         {USAGE}
   FROM asm2)"""
 
 
@@ -182,9 +179,7 @@ def box_scores_clean(spark, sf):
     return r6(cleaned.withColumns({c: F.col(c).cast("double") for c in floats}), *floats, digits=3)
 
 
-@query("shooting_ratios", f"""WITH {PBP}, {SHOTS}, {COUNTERS} SELECT gameId, personId, {pct('fgm', 'fga')} AS fg_pct,
-  {pct('fg3m', 'fg3a')} AS fg3_pct, {pct('ftm', 'fta')} AS ft_pct, {pct('fgm + 0.5::DOUBLE * fg3m', 'fga')} AS efg_pct,
-  {pct('pts', '2 * (fga + 0.44::DOUBLE * fta)')} AS ts_pct FROM shots JOIN counters USING (gameId, personId)""")
+@query("shooting_ratios", f"""WITH {PBP}, {SHOTS}, {COUNTERS} SELECT gameId, personId, {RATIOS} FROM shots JOIN counters USING (gameId, personId)""")
 def shooting_ratios(spark, sf):
     rows = boxscore.shooting_ratios(boxscore.player_totals(pbp(spark, sf)))
     return rows.select("gameId", "personId", "fg_pct", "fg3_pct", "ft_pct", "efg_pct", "ts_pct")
