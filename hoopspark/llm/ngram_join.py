@@ -8,8 +8,9 @@ a class of m shingles in the prefix stands m - k + 1 losses. The order is counte
 shingles, which comes first in it; texts with too few shingles there take part with all of theirs. Signatures carry the
 size class of the sets, own and next smaller, so that texts of far sizes never meet.
 
-Equal sets are one class, known by its smallest id. Classes that share a signature are candidates. First every candidate is
-verified against one hub of each signature, which joins most groups of near copies; then only pairs that are not yet in
+Equal sets are one class, known by its smallest id. Classes that share a signature are candidates; their signatures are
+taken once more from an order counted on all their shingles, in which far fewer meet. Then every candidate is
+verified against one hub of each signature, which joins most groups of near copies; last only pairs that are not yet in
 one component are verified, with all their shingles. No link between different components is left out, and a group of
 copies is never paired with itself.
 
@@ -101,7 +102,7 @@ def _tokens(words: int, percent: int):
             for _, rows, found, whose in _sets(batch, words):
                 f1 = _fingerprints(found, whose, rows)[0]
                 n = np.bincount(whose, minlength=rows)
-                first = found < share(percent)
+                first = found <= share(percent)
                 n_first = np.bincount(whose, first, minlength=rows).astype(np.int64)
                 few = n_first < losses(n, percent) + 1 + classes_of(n, percent, 2) + 2 * classes_of(n, percent, 3)
                 new = np.array([n[i] >= smallest and f not in seen for i, f in enumerate(f1.tolist())], bool)
@@ -117,9 +118,11 @@ def _tokens(words: int, percent: int):
     return run
 
 
-def signatures_of(tokens: np.ndarray, df: np.ndarray, n: int, n_first: int, whole: bool, percent: int, edge: int) -> list[int]:
-    """Signatures of a set for the size class that begins at edge. tokens: those that more than one set has."""
-    first = tokens < share(percent)
+def signatures_of(tokens: np.ndarray, df: np.ndarray, n: int, n_first: int, whole: bool, percent: int, edge: int,
+                  limit: np.uint64) -> list[int]:
+    """Signatures of a set for the size class that begins at edge. tokens: those that more than one set
+    has; the order begins with those up to limit, of which the set has n_first."""
+    first = tokens <= limit
     order = np.lexsort((tokens, df, ~first))
     tokens, df, first = tokens[order], df[order], first[order]
     need = losses(n, percent) + 1
@@ -149,23 +152,23 @@ def signatures_of(tokens: np.ndarray, df: np.ndarray, n: int, n_first: int, whol
     return out
 
 
-def _signatures(percent: int):
+def _signatures(percent: int, limit: np.uint64):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = size_edges(percent)
         for batch in batches:
             owner, sigs, sizes = [], [], []
-            for i, (f1, n, n_first, whole, tokens, df) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)))):
+            for i, (name, n, n_first, whole, tokens, df) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)))):
                 t, at = np.unique(np.array(tokens, np.int64).view(np.uint64), return_index=True)
                 d = np.array(df, np.int64)[at]
-                if n_first - int((t < share(percent)).sum()) > losses(n, percent):
+                if n_first - int((t <= limit).sum()) > losses(n, percent):
                     continue
                 b = int(np.searchsorted(edges, n, "right")) - 1
                 for edge in {int(edges[b]), int(edges[max(0, b - 1)])}:
-                    own = set(signatures_of(t, d, n, n_first, whole, percent, edge))
+                    own = set(signatures_of(t, d, n, n_first, whole, percent, edge, limit))
                     sigs += own
-                    owner += [f1] * len(own)
+                    owner += [name] * len(own)
                     sizes += [n] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(owner, pa.int64()), pa.array(sizes, pa.int32())], names=["sig", "f1", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(owner, pa.int64()), pa.array(sizes, pa.int32())], names=["sig", "name", "n"])
     return run
 
 
@@ -179,6 +182,16 @@ def _whole_sets(words: int):
     return run
 
 
+def narrowed(sets: DataFrame, percent: int) -> DataFrame:
+    """(sig, id, n): signatures of the candidates again, in an order counted on all shingles that candidates have. A set
+    with more shingles of its own than it may lose has none, so copies that differ too much are no candidates any more."""
+    rows = sets.select("id", F.xxhash64("tokens").alias("k"), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = rows.join(counts, "token").groupBy("id", "k", "n").agg(F.collect_list("token").alias("tokens"), F.collect_list("df").alias("df"))
+    return (shared.select("id", "n", F.col("n").alias("n_first"), F.lit(False).alias("whole"), "tokens", "df")
+            .mapInArrow(_signatures(percent, np.uint64((1 << 64) - 1)), "sig long, id long, n int").distinct())
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """A counted table, to be broadcast if it is small."""
     return F.broadcast(df) if rows <= LIMIT_BROADCAST else df
@@ -227,13 +240,14 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     tokens = tokens.select("token", F.struct("f1", "n", "n_first", "whole").alias("s"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(counts, "token").groupBy("s").agg(F.collect_list("token").alias("tokens"), F.collect_list("df").alias("df"))
-    raw = shared.select("s.f1", "s.n", "s.n_first", "s.whole", "tokens", "df").mapInArrow(_signatures(percent), "sig long, f1 long, n int")
+    raw = shared.select("s.f1", "s.n", "s.n_first", "s.whole", "tokens", "df").mapInArrow(_signatures(percent, share(percent)), "sig long, f1 long, n int")
     rows = written(raw.join(known.select("f1", F.col("n").cast("int").alias("n"), F.col("rep").alias("id")), ["f1", "n"]).select("sig", "id", "n").distinct(), "signatures")
     several = rows.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
     sigs = written(rows.join(several, "sig"), "signatures")
     ids = written(sigs.select("id").distinct(), "candidates")
     whole = texts.join(bounded(ids, ids.count()), "id", "left_semi").mapInArrow(_whole_sets(words), "id long, tokens array<long>")
-    links = links_of(sigs, written(whole, "sets"), percent)
+    sets = written(whole, "sets")
+    links = links_of(written(narrowed(sets, percent), "signatures"), sets, percent)
     label = components(links, "a", "b")
     placed = known.join(label, known["rep"] == label["node"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = profile.join(placed, ["n", "f1", "f2"], "left")

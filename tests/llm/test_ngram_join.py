@@ -101,8 +101,8 @@ def test_a_shared_signature_for_every_linked_pair():
         common = len(np.intersect1d(x, y))
         if 100 * common < 90 * (2 * n - common):
             continue
-        edge = int(edges[np.searchsorted(edges, n, "right") - 1])
-        own = [set(ngram_join.signatures_of(s, np.array([df[int(t)] for t in s]), n, int((s < ngram_join.share(90)).sum()), True, 90, edge)) for s in (x, y)]
+        edge, limit = int(edges[np.searchsorted(edges, n, "right") - 1]), ngram_join.share(90)
+        own = [set(ngram_join.signatures_of(s, np.array([df[int(t)] for t in s]), n, int((s <= limit).sum()), True, 90, edge, limit)) for s in (x, y)]
         assert own[0] & own[1]
 
 
