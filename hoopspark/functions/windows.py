@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 UNBOUNDED = Window.unboundedPreceding
 EWMA_BLOCK = 1024
+FORGOTTEN = -37.0      # logarithm of a weight below the last bit of a double: what an older mean counts for at most after a long gap
 
 
 def series(keys: Sequence[str], order: Sequence[str]):
@@ -70,7 +71,8 @@ def ewma_means(
     ``a*y + c*x`` with ``a = d**g / (d**g + alpha)`` and ``c = alpha / (d**g + alpha)``. The products of the
     ``a`` become sums of logarithms, so every step is a running sum: constant work per row, where collecting
     the trailing rows would cost a hundred times more. Logarithms restart every ``EWMA_BLOCK`` rows to stay
-    inside double range; the mean at the end of the block before is carried in.
+    inside double range; the mean at the end of the block before is carried in. A gap of nulls that fades a mean below the
+    last bit of a double counts as FORGOTTEN, however long it is.
     """
     decay = 1.0 - alpha
     key, cols = ", ".join(keys), list(cols)
@@ -87,7 +89,8 @@ def ewma_means(
     rows = step(rows, f"last(CASE WHEN {{c}} IS NOT NULL THEN _pos END, true) {earlier} AS _p_{{c}}")
     rows = step(rows, f"CASE WHEN {{c}} IS NOT NULL THEN power({decay}D, _pos - _p_{{c}}) END AS _f_{{c}}")
     # running sums of ln(a) and of c*x / (product of the a so far), restarting with each block
-    rows = step(rows, f"sum(coalesce(ln(_f_{{c}} / (_f_{{c}} + {alpha}D)), 0D)) {block} AS _s_{{c}}")
+    rows = step(rows, f"sum(CASE WHEN _f_{{c}} IS NULL THEN 0D ELSE greatest(coalesce(ln(_f_{{c}} / (_f_{{c}} + {alpha}D)), {FORGOTTEN}D), {FORGOTTEN}D) END) "
+                      f"{block} AS _s_{{c}}")
     rows = step(rows, f"CASE WHEN {{c}} IS NOT NULL THEN exp(_s_{{c}}) * sum(CAST({{c}} AS DOUBLE) "
                       f"* coalesce({alpha}D / (_f_{{c}} + {alpha}D), 1D) * exp(-_s_{{c}})) {block} END AS _y_{{c}}")
     # the mean at the end of the block before, carried in
@@ -193,4 +196,4 @@ def running_state(
     )
 
 
-assert EWMA_BLOCK * -math.log(0.7) < 700  # exp() of a block stays a finite double
+assert EWMA_BLOCK * -math.log(0.7) - 2 * FORGOTTEN < 700  # exp() of a block's sum of logarithms stays a finite double

@@ -17,7 +17,7 @@ from hoopspark.functions.scalars import clock_seconds, exact_ratio, half_even, p
 from hoopspark.functions.windows import last_before, running_state
 
 CLOSING_ORDER = 1 << 61
-ROSTER_BITS = 62
+WORD_BITS = 62
 PLAYER = ["gameId", "personId"]
 TEAM = ["gameId", "teamId"]
 
@@ -201,33 +201,43 @@ def rosters(pbp: DataFrame) -> DataFrame:
 
 
 def team_changes(pbp: DataFrame, width: int | None = None) -> DataFrame:
-    """Lineup changes of each team in row order, with the change in head count and in roster bits."""
-    moves = presence_changes(pbp, width).join(rosters(pbp), TEAM)
-    place = F.array_position("roster", F.col("personId")).cast("int")
-    too_long = F.raise_error(F.lit(f"a team-game lists more than {ROSTER_BITS} players")).cast("bigint")
-    bit = F.when(place <= ROSTER_BITS, F.call_function("shiftleft", F.lit(1).cast("bigint"), place - 1)).otherwise(too_long)
-    moves = moves.select(*TEAM, "season", "ord", "delta", (bit * F.col("delta")).alias("bits"), "clock", "carried")
+    """Lineup changes of each team in row order, with the change in head count and in roster bits.
+
+    A roster of any length is cut into words of WORD_BITS players; each change is one row per word of its team's roster.
+    """
+    moves = presence_changes(pbp, width).select(*TEAM, "season", "ord", "delta", "personId", "clock", "carried")
     subs = pbp.where(
         (F.col("actionType") == "substitution") & F.col("subType").isin("in", "out") & _is_player()
         & F.col("teamId").isNotNull()
     ).select(
         *TEAM, "season", F.col("orderNumber").cast("bigint").alias("ord"), F.lit(0).alias("delta"),
-        F.lit(0).cast("bigint").alias("bits"), F.coalesce(clock_seconds("clock"), F.lit(0.0)).alias("clock"),
+        F.lit(None).cast("bigint").alias("personId"), F.coalesce(clock_seconds("clock"), F.lit(0.0)).alias("clock"),
         F.lit(False).alias("carried"),
     )
-    return moves.unionByName(subs).groupBy(*TEAM, "ord").agg(
-        F.sum("delta").alias("delta"), F.sum("bits").alias("bits"), F.max("clock").alias("clock"),
-        F.max("carried").alias("carried"), F.max("season").alias("season"),
+    place = F.array_position("roster", F.col("personId")).cast("int") - 1
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place % WORD_BITS) * F.col("delta")
+    moved = F.when(F.col("personId").isNotNull(), F.struct(F.floor(place / WORD_BITS).cast("int").alias("word"), bit.alias("bit")))
+    changes = moves.unionByName(subs).join(rosters(pbp), TEAM).groupBy(*TEAM, "ord").agg(
+        F.sum("delta").alias("delta"), F.collect_list(moved).alias("_moved"), F.max("clock").alias("clock"),
+        F.max("carried").alias("carried"), F.max("season").alias("season"), F.max(F.size("roster")).alias("_size"),
     )
+    words = F.sequence(F.lit(0), F.floor((F.col("_size") - 1) / WORD_BITS).cast("int"))
+    own = F.filter("_moved", lambda m: m["word"] == F.col("word"))
+    return changes.withColumn("word", F.explode(words)).withColumn(
+        "bits", F.aggregate(own, F.lit(0).cast("bigint"), lambda a, m: a + m["bit"])).drop("_moved", "_size")
 
 
 def _segments(changes: DataFrame, pbp: DataFrame, ahead: dict, width: int | None) -> DataFrame:
     states = running_state(
-        changes, TEAM, "ord", {"on_court": "delta", "mask": "bits"},
+        changes, [*TEAM, "word"], "ord", {"on_court": "delta", "mask": "bits"},
         {"end_ord": "ord", "end_clock": "clock", "end_carried": "carried", **ahead}, width,
     )
     fives = states.where((F.col("on_court") == 5) & F.col("end_ord").isNotNull() & ~F.col("end_carried"))
-    chosen = F.filter("roster", lambda p, i: F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), i.cast("int"))) != 0)
+    rest = [c for c in fives.columns if c not in (*TEAM, "ord", "word", "mask", "bits")]
+    fives = fives.groupBy(*TEAM, "ord").agg(
+        *[F.first(c).alias(c) for c in rest], F.transform(F.array_sort(F.collect_list(F.struct("word", "mask"))), lambda w: w["mask"]).alias("masks"))
+    bit_of = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i.cast("int") % WORD_BITS)
+    chosen = F.filter("roster", lambda p, i: F.get("masks", F.floor(i / WORD_BITS).cast("int")).bitwiseAND(bit_of(i)) != 0)
     spent = F.greatest(F.lit(0.0), F.col("clock") - F.col("end_clock")) / 60.0
     return fives.join(rosters(pbp), TEAM).withColumns({"min": half_even(spent, 2), "lineup": chosen}).withColumnRenamed(
         "ord", "start_ord"

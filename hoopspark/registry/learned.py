@@ -135,10 +135,10 @@ def event_stream(spark, sf):
 def latest_live_scores(spark, sf):
     snapshots = event_stream(spark, sf).select(
         F.col("gameId").cast("string").alias("game_id"), "ts", F.col("k").alias("home_score"), F.col("event_id").alias("snapshot"))
-    return live.drain(live.latest_scores(snapshots), ["game_id"], work_folder(spark, "stream")).drop("as_of")
+    return live.gather(snapshots, live.latest_scores, work_folder(spark, "stream")).drop("ts")
 
 
 @query("running_box_scores", f"WITH {PBP}, {SHOTS}, {COUNTERS}, {DEFENCE} SELECT * FROM shots JOIN counters USING (gameId, personId) JOIN defence USING (gameId, personId)")
 def running_box_scores(spark, sf):
     plays = actions(event_stream(spark, sf))
-    return live.drain(live.running_box(plays.unionByName(plays)), ["gameId", "personId"], work_folder(spark, "stream"))
+    return live.running_box(live.gather(plays.unionByName(plays), live.distinct_plays, work_folder(spark, "stream")))

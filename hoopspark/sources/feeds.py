@@ -42,16 +42,17 @@ def schedule_range(payloads: DataFrame) -> DataFrame:
 
 
 def team_map(payloads: DataFrame) -> DataFrame:
-    """Feed team id → league code."""
+    """Feed team id → league code, one row per id however many payloads list it."""
     teams = F.flatten(F.flatten(F.transform("sports", lambda s: F.transform(s["leagues"], lambda g: g["teams"]))))
     rows = payloads.select(F.explode(teams).alias("t"))
-    return rows.select(F.col("t.team.id").alias("feed_id"), team_code("t.team.abbreviation").alias("team_tri"))
+    named = rows.select(F.col("t.team.id").alias("feed_id"), team_code("t.team.abbreviation").alias("team_tri"))
+    return named.groupBy("feed_id").agg(F.max("team_tri").alias("team_tri"))
 
 
 def injury_report(payloads: DataFrame, feed_teams: DataFrame) -> DataFrame:
     """One row per listed player: team by name, else by feed id; status rank; detail text or a short comment."""
     teams = payloads.select(F.explode("injuries").alias("t")).select("t.id", "t.displayName", F.explode("t.injuries").alias("p"))
-    by_id = F.broadcast(feed_teams.select(F.col("feed_id").alias("id"), F.col("team_tri").alias("_by_id")))
+    by_id = feed_teams.groupBy(F.col("feed_id").alias("id")).agg(F.max("team_tri").alias("_by_id"))
     named = teams.join(by_id, "id", "left").withColumn(
         "team_tri", F.coalesce(lookup(F.coalesce("displayName", F.lit("")), {t[1]: t[0] for t in TEAMS}), "_by_id"))
     kind, detail = (F.coalesce(f"p.details.{c}", F.lit("")) for c in ("type", "detail"))

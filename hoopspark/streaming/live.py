@@ -1,36 +1,43 @@
-"""Live scores and running box scores from streams."""
+"""Live scores and running box scores from streams.
+
+A stream only gathers: each batch is reduced to what a later batch can still change (the newest snapshot of a game, one
+copy of a play) and appended as a part named by its batch, so a batch that runs again replaces its own part. The same
+reduction runs over all parts on reading. No watermark decides what counts and no state is kept between batches, so any
+split of the input into files, in any order, gives the answer of one batch.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoopspark.functions.windows import top_rows
 from hoopspark.operators import boxscore
 
 
-def latest_scores(snapshots: DataFrame, time: str = "ts", delay: str = "10 minutes") -> DataFrame:
-    """Newest snapshot of each game."""
+def latest_scores(snapshots: DataFrame, time: str = "ts") -> DataFrame:
+    """Newest snapshot of each game, with all its columns."""
     fields = [c for c in snapshots.columns if c not in ("game_id", time)]
-    newest = F.max_by(F.struct(F.col(time).alias("as_of"), *fields), F.struct(time, *fields))
-    return snapshots.withWatermark(time, delay).groupBy("game_id").agg(newest.alias("s")).select("game_id", "s.*")
+    newest = F.max(F.struct(time, *fields))
+    return snapshots.groupBy("game_id").agg(newest.alias("s")).select("game_id", "s.*")
+
+
+def distinct_plays(plays: DataFrame) -> DataFrame:
+    """Each play once, however often it was sent."""
+    return plays.dropDuplicates(["gameId", "actionNumber"])
 
 
-def running_box(plays: DataFrame, time: str = "ts", delay: str = "1 day") -> DataFrame:
-    """Box counts so far per player-game; a play sent twice within the delay counts once."""
-    once = plays.withWatermark(time, delay).dropDuplicatesWithinWatermark(["gameId", "actionNumber"])
-    return boxscore.player_rows(once).groupBy(*boxscore.KEY).agg(*boxscore.running_counts())
+def running_box(plays: DataFrame) -> DataFrame:
+    """Box counts so far per player-game; a play sent twice counts once."""
+    return boxscore.player_rows(distinct_plays(plays)).groupBy(*boxscore.KEY).agg(*boxscore.running_counts())
 
 
-def drain(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
-    """Process what has arrived, append each batch's changed rows to a table, and read the newest per key."""
+def gather(stream: DataFrame, reduce: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """Process what has arrived and return all of it, reduced. reduce must give the same over parts as over the whole."""
     def append(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/part={number}")
+        reduce(batch).write.mode("overwrite").parquet(f"{folder}/rows/part={number}")
 
-    query = (
-        stream.writeStream.outputMode("update").foreachBatch(append)
-        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    )
+    query = stream.writeStream.foreachBatch(append).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = stream.sparkSession.read.parquet(f"{folder}/rows")
-    return top_rows(rows, keys, [F.desc("_batch")], 1).drop("_batch", "part")
+    return reduce(stream.sparkSession.read.parquet(f"{folder}/rows").drop("part"))

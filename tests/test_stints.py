@@ -142,3 +142,18 @@ def test_lineups_and_margins_equal_a_replay(spark, games, width):
     assert len(want) > 100
     assert [x[:3] for x in got] == [x[:3] for x in want]
     assert all(abs(a[3] - b[3]) <= 0.0101 and a[4] == b[4] for a, b in zip(got, want))
+
+
+@pytest.mark.parametrize("extra", [63, 130])
+def test_rosters_of_any_length_equal_a_replay(spark, extra):
+    """Players who only leave without having come in lengthen the roster before those who play."""
+    plays = {}
+    for g in (1, 2):
+        rows = [(*r[:2], r[2] * 200, *r[3:]) for r in random_game(g, g)]
+        at = next(r for r in rows if r[5] == "period" and r[6] == "start")
+        more = [(g, 2024, at[2] + 1 + i, at[3], at[4], "substitution", "out", 1, i + 1, None, None) for i in range(extra)]
+        plays[g] = sorted([*rows, *more], key=lambda r: r[2])
+    df = spark.createDataFrame([r for rows in plays.values() for r in rows], SCHEMA)
+    got = sorted((r.gameId, r.teamId, tuple(r.lineup)) for r in stints.lineup_segments(df, 5_000).collect())
+    assert got == sorted((g, t, five) for g, rows in plays.items() for t, five, _, _ in replay(rows)[1])
+    assert len({p for _, t, five in got if t == 1 for p in five}) >= 5

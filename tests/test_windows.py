@@ -1,10 +1,11 @@
 import random
+from fractions import Fraction
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hoopspark.functions import windows
+from hoopspark.functions import scalars, windows
 
 
 def frame(spark, n_keys=3, rows=60, seed=1, nulls=0.25):
@@ -31,6 +32,22 @@ def test_weighted_mean_carries_over_block_boundaries(spark):
     assert (got["x_ewma"] - want).abs().max() < 1e-9
 
 
+def test_weighted_mean_forgets_over_gaps_of_any_length(spark):
+    gaps = [1, 50, 1500, 1995, 2000, 2050, 2200, 5000]
+    data = [(g, t, x) for g in gaps for t, x in [(0, 10.0), *((i + 1, None) for i in range(g)), (g + 1, 20.0), (g + 2, 1.0)]]
+    got = {r.k: r.x_ewma for r in windows.ewma_means(spark.createDataFrame(data, "k int, t bigint, x double"), ["k"], ["t"], ["x"]).where("x = 1").collect()}
+    for g in gaps:
+        d = 0.7 ** (g + 1)
+        assert abs(got[g] - (d * 10 + 0.3 * 20) / (d + 0.3)) < 1e-9
+
+
+def test_exact_ratio_rounds_ties_to_even(spark):
+    pairs = [(n, d) for n in (-2013, -5, 0, 1, 5, 15, 25, 69, 2012, 2013, 12345) for d in (-8, -3, 0, 1, 8, 16, 40, 200, 6000)]
+    rows = spark.createDataFrame(pairs, "n long, d long").withColumn("q", scalars.exact_ratio("n", "d", 3)).collect()
+    for r in rows:
+        assert r.q == (None if r.d == 0 else float(round(Fraction(r.n, r.d), 3)))
+
+
 @pytest.mark.parametrize("inclusive", [False, True])
 def test_last_before_is_the_same_in_ranges(spark, inclusive):
     df = frame(spark)
