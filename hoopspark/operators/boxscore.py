@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hoopspark.functions.scalars import exact_ratio, half_even
 
 KEY = ["gameId", "personId"]
+# fixed values
 COUNTERS = {
     "pointsTotal": "pts",
     "reboundTotal": "reb",
@@ -17,10 +18,12 @@ COUNTERS = {
     "foulPersonalTotal": "pf",
     "foulTechnicalTotal": "tf",
 }
+# fixed values
 COUNT_COLUMNS = ["pts", "fgm", "fga", "fg3m", "fg3a", "ftm", "fta", "reb", "oreb", "dreb", "ast", "stl", "blk",
                  "tov", "pf", "tf", "fouls_drawn"]
 RATIO_COLUMNS = ["fg_pct", "fg3_pct", "ft_pct", "efg_pct", "ts_pct", "team_poss", "usg_pct", "pts_per36",
                  "reb_per36", "ast_per36"]
+# fixed values
 BOX_COLUMNS = ["gameId", "season", "personId", "playerName", "teamId", "teamTricode", "min", *COUNT_COLUMNS,
                *RATIO_COLUMNS]
 

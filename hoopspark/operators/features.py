@@ -14,8 +14,10 @@ from hoopspark.functions.windows import (
     change_runs, day_gap, ewma_means, expanding_means, trailing_means, trailing_sums,
 )
 
+# fixed values
 ROLL_STATS = ["pts", "reb", "ast", "stl", "blk", "tov", "min", "fgm", "fga", "fg3m", "fg3a", "ftm", "fta",
               "ts_pct", "efg_pct", "usg_pct", "fouls_drawn"]
+# fixed values
 STINT_STATS = ["pts", "reb", "ast", "stl", "blk", "tov", "min", "ts_pct", "usg_pct"]
 WIDTHS = [3, 5, 10]
 ORDER = ["game_date", "gameId"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hoopspark.operators.columns import team_mean_columns, with_prefix
+from hoopspark.operators.columns import of_role, team_mean_columns
 
 ACTIVE_MINUTES = 5.0
 
@@ -64,7 +64,7 @@ def differences(games: DataFrame, cols: list[str]) -> DataFrame:
 
 def head_to_head_of_games(features: DataFrame) -> DataFrame:
     """The head-to-head columns per game, taken from the home players' rows where there are any."""
-    cols = with_prefix(features, "h2h_")
+    cols = of_role(features, "head_to_head")
     first = F.struct(F.col("is_home").cast("int") * -1, "personId")
     return features.groupBy("gameId").agg(*[F.min_by(c, first).alias(c) for c in cols])
 
@@ -74,7 +74,7 @@ def game_features(features: DataFrame, box: DataFrame, schedule: DataFrame, elo:
     cols = team_mean_columns(features)
     means = team_means(features, [*cols, "team_elo"] if elo else cols)
     wide = differences(home_away_rows(means, schedule), cols)
-    if with_prefix(features, "h2h_"):
+    if of_role(features, "head_to_head"):
         wide = wide.join(head_to_head_of_games(features), "gameId", "left")
     return wide.join(home_results(box, schedule), "gameId")
 

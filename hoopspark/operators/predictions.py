@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hoopspark.functions.scalars import clip, half_even, normal_name, sigmoid, zero_if_null
 from hoopspark.functions.windows import latest_values, top_rows
 
+# fixed values
 LEAGUE_POINTS = 113.5
 LEAGUE_RATING = 113.5
 HOME_POINTS = 2.5

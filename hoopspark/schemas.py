@@ -69,3 +69,12 @@ _PLAYERS = (
     f"statistics:{_STATISTICS}>>>"
 )
 LIVE_BOX_SCHEMA = f"game struct<gameId:string,homeTeam:{_PLAYERS},awayTeam:{_PLAYERS}>"
+# fixed values: the first columns of the feature matrix, in file order
+FEATURE_MATRIX_LEAD = [
+    "gameId", "season", "game_date", "personId", "playerName", "teamId", "teamTricode", "opp_team_id",
+    "is_home", "rest_days", "is_back_to_back", "opp_def_rating", "games_on_current_team", "team_stint_id",
+    "h2h_win_pct_home", "h2h_pts_diff_avg", "h2h_games",
+    "min", "pts", "fgm", "fga", "fg3m", "fg3a", "ftm", "fta", "reb", "oreb", "dreb", "ast", "stl", "blk", "tov", "pf", "tf",
+    "fouls_drawn", "fg_pct", "fg3_pct", "ft_pct", "efg_pct", "ts_pct", "team_poss", "usg_pct", "pts_per36", "reb_per36",
+    "ast_per36",
+]
