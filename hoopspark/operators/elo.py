@@ -36,10 +36,13 @@ def _stream(batches: Iterator[pd.DataFrame], k: float, start: float) -> Iterator
         yield pd.DataFrame({"league": batch["league"], "gameId": batch["gameId"], "home_elo": home_elo, "away_elo": away_elo})
 
 
-def elo_ratings(games: DataFrame, league: str | None = None, k: float = K, start: float = START) -> DataFrame:
-    """Ratings before each game. ``games``: gameId, game_date, both team ids, both points (null: not played)."""
+def elo_ratings(games: DataFrame, league: str, k: float = K, start: float = START) -> DataFrame:
+    """Ratings before each game. ``games``: gameId, game_date, both team ids, both points (null: not played).
+
+    Teams of different leagues never meet, so each league is a series of its own; the column that names it is required.
+    """
     rows = games.select(
-        (F.lit(0) if league is None else F.col(league)).cast("bigint").alias("league"),
+        F.col(league).cast("bigint").alias("league"),
         F.col("gameId").cast("bigint").alias("gameId"), "game_date", "home_team_id", "away_team_id",
         F.col("home_pts").cast("double").alias("home_pts"), F.col("away_pts").cast("double").alias("away_pts"),
     )

@@ -27,11 +27,10 @@ def player_features(
     return df.select(*feature_matrix_columns(df))
 
 
-def training_rows(player_rows: DataFrame, box: DataFrame, schedule: DataFrame, league: str | None = None) -> DataFrame:
+def training_rows(player_rows: DataFrame, box: DataFrame, schedule: DataFrame, league: str) -> DataFrame:
     """Feature rows with team ratings and workload."""
-    keep = ["gameId", league] if league else ["gameId"]
     points = features.game_points(box, schedule)
-    points = points.join(schedule.select(*keep), "gameId") if league else points
+    points = points.join(schedule.select("gameId", league), "gameId")
     rated = elo.attach_elo(player_rows, elo.elo_ratings(points, league), schedule)
     return features.workload(rated)
 
