@@ -21,11 +21,15 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every node has one link, straight to a node that has none of its own."""
+    onward = links.join(links.select(F.col("b").alias("a")), "a", "left_semi")
+    return links.groupBy("a").count().where("count > 1").isEmpty() and onward.isEmpty()
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of at least one link. Each round is a stored table."""
     now = written(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "links")
-    before = None
-    while before != (state := now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 999_983)).first()):
-        before = state
+    while not _settled(now):
         now = written(_star(_star(now, True), False), "links")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
