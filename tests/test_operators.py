@@ -57,7 +57,7 @@ def test_best_five_equals_brute_force(spark):
 def test_ratings_keep_their_sum_and_skip_unplayed_games(spark):
     games = [(i, f"2024-01-{i + 1:02d}", 1 + i % 3, 1 + (i + 1) % 3, 100 + i, 101 if i % 4 else None) for i in range(20)]
     df = spark.createDataFrame(games, "gameId int, game_date string, home_team_id int, away_team_id int, home_pts int, away_pts int")
-    rows = elo.elo_ratings(df).orderBy("gameId").collect()
+    rows = elo.elo_ratings(df.withColumn("league", F.lit(1)), "league").orderBy("gameId").collect()
     state = {1: 1500.0, 2: 1500.0, 3: 1500.0}
     for g, r in zip(games, rows):
         h, a = g[2], g[3]
