@@ -29,7 +29,7 @@ from hoopspark.session import written
 FOLDS, HELD = 7, 2
 HEAD_WORDS = 120_000
 KEPT_WORDS = 250_000
-EM_ROUNDS = 1
+EM_ROUNDS = 2
 START = "▁"
 _B = np.uint64(0x100000001B3)
 _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})

@@ -71,3 +71,11 @@ def test_odd_rows_and_joined_words(frame, monkeypatch):
     rows = [(i, t) for i, t in enumerate([None, "", " \n", "a b c a", "A B x", "é É 日本", "z" * 5000, "a  b", "q r s t u v w"] * 3)] + [(3, "a b c a"), (None, "a b"), (None, None)]
     check(rows, lattice.score(frame(rows), PATH).collect())
     assert lattice.score(frame([]), PATH).count() == 0
+
+
+def test_the_rounds_of_the_query_fit_better_than_one(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    fit = lambda: lattice.score(docs, PATH).where("held_out").agg({"score": "sum"}).first()[0]
+    ours = fit()
+    monkeypatch.setattr(lattice, "EM_ROUNDS", 1)
+    assert ours > fit() + 300
