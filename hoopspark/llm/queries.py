@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hoopspark.llm import chat, decontam, lattice, line_clean, ngram_join, packing, paragraph_dedup, suffix_dedup, token_files, toxicity
+from hoopspark.llm import (chat, decontam, lattice, line_clean, ngram_join, packing, paragraph_dedup, periodic_runs, suffix_dedup, token_files,
+                           toxicity)
 from hoopspark.llm.shared import table
 
 
@@ -60,6 +64,20 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.read_turns(chat.format_turns(talks.unionByName(own))))
 
 
+def repeated_tail(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Places of the words of every tenth text, by crc32 of its id, when its tail repeats its own beginning; else None."""
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    if h % 10:
+        return None
+    start, places = h // 10 % n, np.arange(n)
+    places[start:] = start + np.arange(n - start) % (1 + (n - start) // (3 + h // 10 % 8))
+    return places
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), repeated_tail))
+
+
 _OP8 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -118,12 +136,48 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM f GROUP BY conv_id"""
 
 
+def _crc_table() -> list[int]:
+    """crc32 of single bytes without its first and last complement, by the rule of its polynomial."""
+    found = list(range(256))
+    for _ in range(8):
+        found = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in found]
+    return found
+
+
+def _crc_sql(codes: str) -> str:
+    """SQL for the unsigned crc32 of a list of byte values."""
+    step = f"xor(c >> 8, ([{', '.join(map(str, _crc_table()))}]::UBIGINT[])[(xor(c, b) & 255)::BIGINT + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {codes}), lambda c, b: {step}), 4294967295::UBIGINT)::BIGINT"
+
+
+_ID_CODES = "list_transform(list_filter(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: x <> ''), lambda x: ord(x)::UBIGINT)"
+_OP12 = rf"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+                  {_crc_sql(_ID_CODES)} AS h FROM documents),
+a AS (SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN h // 10 % len(ws) END AS a FROM t),
+p AS (SELECT *, 1 + (n - a) // (3 + h // 10 % 8) AS p FROM a),
+w AS (SELECT r, n, i, ws[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS w FROM (SELECT *, unnest(range(0, n)) AS i FROM p)),
+e AS (SELECT x.r, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.r = y.r AND x.w = y.w AND x.i < y.i AND 3 * (y.i - x.i) <= x.n),
+g AS (SELECT r, q, min(i) AS start, count(*) + q AS length
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM e) GROUP BY r, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT r, start, length, min(q) AS period FROM g GROUP BY r, start, length),
+s AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY r),
+top AS (SELECT x.* FROM runs x WHERE NOT EXISTS (SELECT 1 FROM runs y WHERE y.r = x.r AND (y.length * x.period > x.length * y.period
+      OR (y.length * x.period = x.length * y.period AND (y.start < x.start OR (y.start = x.start AND y.period < x.period)))))),
+k AS (SELECT w.r, string_agg(w.w, ' ' ORDER BY w.i) AS kept FROM w
+      WHERE NOT EXISTS (SELECT 1 FROM runs u WHERE u.r = w.r AND w.i >= u.start + u.period AND w.i < u.start + u.length) GROUP BY w.r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, (1000 * length) // period AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN s USING (r) LEFT JOIN top USING (r) LEFT JOIN k USING (r)"""
+
+
 def queries() -> dict:
     return {"op1_best_fit_packing": op1_best_fit_packing, "op2_ngram_join": op2_ngram_join, "op3_paragraph_dedup": op3_paragraph_dedup,
             "op4_token_files": op4_token_files, "op5_suffix_dedup": op5_suffix_dedup, "op6_toxicity": op6_toxicity, "op7_subword_lattice": op7_subword_lattice,
             "op8_line_cleaning": op8_line_cleaning, "op9_decontamination": op9_decontamination,
-            "op10_chat_formatting": op10_chat_formatting}
+            "op10_chat_formatting": op10_chat_formatting, "op12_periodic_runs": op12_periodic_runs}
 
 
 def oracle_sql() -> dict:
-    return {"op8_line_cleaning": _OP8, "op9_decontamination": _OP9, "op10_chat_formatting": _OP10}
+    return {"op8_line_cleaning": _OP8, "op9_decontamination": _OP9, "op10_chat_formatting": _OP10,
+            "op12_periodic_runs": _OP12}
