@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hoopspark.llm import (chat, decontam, lattice, line_clean, ngram_join, packing, paragraph_dedup, periodic_runs, suffix_dedup, token_files,
-                           toxicity)
+from hoopspark.llm import (chat, decontam, language_id, lattice, line_clean, ngram_join, packing, paragraph_dedup, periodic_runs, spelling,
+                           suffix_dedup, token_files, toxicity)
 from hoopspark.llm.shared import table
 
 
@@ -64,6 +64,20 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.read_turns(chat.format_turns(talks.unionByName(own))))
 
 
+def lost_letters(doc_id: int | None, words: list[str]) -> list[str]:
+    """Words of a text, some without one letter: every 31st by crc32 of id and word."""
+    known, seed = {}, zlib.crc32(b":" if doc_id is None else f"{doc_id}:".encode())
+    for w in set(words):
+        h = zlib.crc32(w.encode(), seed)
+        if h % 31 == 0:
+            known[w] = w[:h % len(w)] + w[h % len(w) + 1:]
+    return [known.get(w, w) for w in words] if known else words
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), change=lost_letters))
+
+
 def repeated_tail(doc_id: int | None, n: int) -> np.ndarray | None:
     """Places of the words of every tenth text, by crc32 of its id, when its tail repeats its own beginning; else None."""
     h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
@@ -78,6 +92,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), repeated_tail))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 _OP8 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -171,13 +189,36 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, (1000 * len
 FROM t LEFT JOIN s USING (r) LEFT JOIN top USING (r) LEFT JOIN k USING (r)"""
 
 
+_CODES = "flatten(list_transform(list_filter(string_split({}, ''), lambda x: x <> ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::UBIGINT] ELSE [195::UBIGINT, (ord(x) - 64)::UBIGINT] END))"
+_OP11 = rf"""
+WITH RECURSIVE runs AS (
+  SELECT id, w, count(*) AS c FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+           unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]{{7,}}')) AS w
+    FROM documents) GROUP BY ALL),
+hashed AS (SELECT w, c, {_crc_sql(_CODES.format("id || ':' || w"))} AS h FROM runs),
+changed AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, c FROM hashed),
+words AS MATERIALIZED (SELECT w, CAST(sum(c) AS BIGINT) AS n FROM changed WHERE length(w) >= 7 GROUP BY w HAVING sum(c) >= 2),
+cut AS MATERIALIZED (SELECT w, i, left(w, i - 1) || substr(w, i + 1) AS d FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM words)),
+pairs AS (SELECT x.w, y.w AS o FROM cut x JOIN cut y ON x.d = y.d AND x.i = y.i AND x.w <> y.w
+          UNION SELECT c.w, v.w FROM cut c JOIN words v ON v.w = c.d UNION SELECT v.w, c.w FROM cut c JOIN words v ON v.w = c.d),
+near AS (SELECT p.w, count(*) AS n_near, max(v.n) AS most FROM pairs p JOIN words v ON v.w = p.o GROUP BY p.w),
+best AS (SELECT p.w, min(p.o) AS o FROM pairs p JOIN words v ON v.w = p.o JOIN near m ON m.w = p.w AND m.most = v.n GROUP BY p.w),
+forms AS MATERIALIZED (SELECT words.w, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN best.o END AS form, CASE WHEN most >= 10 * n THEN most END AS form_n
+          FROM words LEFT JOIN near ON near.w = words.w LEFT JOIN best ON best.w = words.w),
+ways AS (SELECT w, w AS at FROM forms UNION ALL SELECT ways.w, f.form FROM ways JOIN forms f ON f.w = ways.at WHERE f.form IS NOT NULL),
+ends AS (SELECT ways.w, ways.at AS root FROM ways JOIN forms f ON f.w = ways.at WHERE f.form IS NULL)
+SELECT forms.w AS word, form, root, n, n_near, form_n FROM forms JOIN ends ON ends.w = forms.w"""
+
+
 def queries() -> dict:
     return {"op1_best_fit_packing": op1_best_fit_packing, "op2_ngram_join": op2_ngram_join, "op3_paragraph_dedup": op3_paragraph_dedup,
             "op4_token_files": op4_token_files, "op5_suffix_dedup": op5_suffix_dedup, "op6_toxicity": op6_toxicity, "op7_subword_lattice": op7_subword_lattice,
             "op8_line_cleaning": op8_line_cleaning, "op9_decontamination": op9_decontamination,
-            "op10_chat_formatting": op10_chat_formatting, "op12_periodic_runs": op12_periodic_runs}
+            "op10_chat_formatting": op10_chat_formatting, "op11_spelling_variants": op11_spelling_variants,
+            "op12_periodic_runs": op12_periodic_runs, "op13_language_id": op13_language_id}
 
 
 def oracle_sql() -> dict:
     return {"op8_line_cleaning": _OP8, "op9_decontamination": _OP9, "op10_chat_formatting": _OP10,
-            "op12_periodic_runs": _OP12}
+            "op11_spelling_variants": _OP11, "op12_periodic_runs": _OP12}
