@@ -32,6 +32,7 @@ from hoopspark.session import written
 
 FOLDS, HELD = 3, 1
 SAMPLE_ROWS = 8_000
+SPARE, HASH_BITS = 4, 40     # share of a language's rows that is ranked, in quotas
 WIDTH_BITS = 13
 WIDTH = 1 << WIDTH_BITS
 GRAMS = (2, 3, 4)
@@ -129,14 +130,17 @@ def machines(languages: list[str]) -> list[tuple[str, str, str, int]]:
 
 
 def sample(docs: DataFrame, sample_rows: int, id_col: str, lang_col: str) -> tuple[list[str], DataFrame]:
-    """Languages, and the rows to learn from: lang, hash, text. Hashes of ids decide, before any text is read."""
+    """Languages, and the rows to learn from: lang, hash, text. Rows of a language are counted first; only the share of its ids that
+    has a few times its quota is read and ranked, so no task sees more than that of a language."""
     known = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).select(
-        F.col(lang_col).alias("lang"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("hash"), "text")
-    languages = [r["lang"] for r in known.select("lang").distinct().orderBy("lang").limit(sample_rows).collect()]
-    quota = max(1, sample_rows // max(1, len(languages)))
+        F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << HASH_BITS)).alias("hash"), "text")
+    counts = [tuple(r) for r in known.groupBy("lang").count().orderBy("lang").limit(sample_rows).collect()]
+    quota = max(1, sample_rows // max(1, len(counts)))
+    limits = [(lang, min(1 << HASH_BITS, SPARE * quota * (1 << HASH_BITS) // n)) for lang, n in counts]
+    limits = docs.sparkSession.createDataFrame(limits, "lang string, limit long")
+    chosen = known.join(F.broadcast(limits), "lang").where("hash < limit").groupBy("lang", "hash").agg(F.min("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
-    limits = known.select("lang", "hash").withColumn("place", place).where(F.col("place") <= quota).groupBy("lang").agg(F.max("hash").alias("limit"))
-    return languages, known.join(F.broadcast(limits.orderBy("lang").limit(sample_rows)), "lang").where("hash <= limit").groupBy("lang", "hash").agg(F.min("text").alias("text"))
+    return [lang for lang, _ in counts], chosen.withColumn("place", place).where(F.col("place") <= quota).drop("place")
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
