@@ -19,12 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hoopspark.llm.encoding import encoder
+from hoopspark.llm.encoding import encoder, text_groups
 from hoopspark.llm.shared import partitions
 from hoopspark.session import written
 
 SIZE = 2048
-ROWS = 256                 # texts encoded at a time
 _RANK_BITS = 48
 
 
@@ -84,10 +83,10 @@ def _pieces(path: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).fill_null("")
-            for at in range(0, batch.num_rows, ROWS):
+            ids = batch.column(0)
+            for at, texts in text_groups(batch.column(1)):
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, own in enumerate(encode(texts.slice(at, ROWS).to_pylist()), at):
+                for i, own in enumerate(encode(texts), at):
                     own = memoryview(own + tail)
                     n = len(own) // 4
                     cuts = [0, *range(n % size or size, n + 1, size)]

@@ -29,13 +29,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hoopspark.llm.encoding import encoder
+from hoopspark.llm.encoding import encoder, text_groups
 from hoopspark.llm.shared import mix, partitions
 from hoopspark.session import work_folder, written
 
 SHARD_BYTES = 128 << 20
 READ_BYTES = 8 << 20
-ROWS = 256
 NULL_KEY = -(1 << 63)
 _GAMMA, _MAGIC, _VERSION = 1.6, 0x58444954, 1
 _SEEDS = mix(np.arange(1, 66, dtype=np.uint64))
@@ -130,9 +129,9 @@ def _writer(folder: str, path: str, end_id: int, width: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, encode, done = None, encoder(path).encode, []
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                keys = batch.column(0).slice(at, ROWS).fill_null(NULL_KEY).to_pylist()
-                for key, ids in zip(keys, encode(batch.column(1).slice(at, ROWS).to_pylist())):
+            for at, texts in text_groups(batch.column(1)):
+                keys = batch.column(0).slice(at, len(texts)).fill_null(NULL_KEY).to_pylist()
+                for key, ids in zip(keys, encode(texts)):
                     if own and own.starts[-1] * width >= shard_bytes and own.keys[-1] != key:
                         done.append(own.close())
                         own = None

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -23,6 +24,26 @@ def test_parts_encode_as_the_whole_text(path):
         assert np.frombuffer(own, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text[:40]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_every_letter_before_and_after_every_mark(path):
+    """A letter may end in a combining mark once the vocabulary has normalised it, and marks go with what closes a part."""
+    plain, own = Tokenizer.from_file(path), Encoder(path)
+    letters = [chr(c) for c in range(32, 0x30000) if not 0xD800 <= c < 0xE000 and (chr(c).isalpha() or chr(c).isspace() or (c < 0x3100 and chr(c).isprintable()))]
+    letters = [c for c in letters if not 0x4E10 <= ord(c) < 0x9F00 and not 0xAC20 <= ord(c) < 0xD780 and ord(c) < 0x20100]
+    texts = [f"A{c}{mark} b{mark}{c} {c}{mark}" for c in letters for mark in ",.;:!?"] + ["Aİ, b", "x\n\u2003y", "a \u3000b", "a \u201cq\u201d\u2009.", "\u0301 \u0301,"]
+    want = plain.encode_batch(texts, add_special_tokens=False)
+    for text, ids, w in zip(texts, own.encode(texts), want):
+        assert np.frombuffer(ids, "<u4").tolist() == w.ids, ascii(text)
+
+
+def test_groups_of_texts(monkeypatch):
+    from hoopspark.llm import encoding
+
+    monkeypatch.setattr(encoding, "GROUP_BYTES", 10)
+    found = list(encoding.text_groups(pa.array(["abc", None, "x" * 30, "é" * 4, "", "z"]).slice(1)))
+    assert found == [(0, [""]), (1, ["x" * 30]), (2, ["é" * 4, "", "z"])] and list(encoding.text_groups(pa.array([], pa.string()))) == []
+
+
 def _pieces(rows, path, end, size):
     plain, out = Tokenizer.from_file(path), {}
     for doc, text in rows:
