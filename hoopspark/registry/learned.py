@@ -103,26 +103,25 @@ def win_model_calibration(spark, sf):
 @query("stacked_player_errors")
 def stacked_player_errors(spark, sf):
     rows = player_rows(spark, sf)
-    return models.stacked_player_errors(rows, player_model_columns(rows), 2, ["pts"], folds=3, trees=10, rounds=5)
+    return models.stacked_player_errors(rows, player_model_columns(rows), 2)
 
 
 @query("stacked_game_errors")
 def stacked_game_errors(spark, sf):
     rows = game_scores(spark, sf)
-    return models.stacked_game_errors(rows, [f"diff_{c}" for c in MEAN_COLS] + ["elo_diff", "rest_diff"], 2, folds=2, trees=5, rounds=3)
+    return models.stacked_game_errors(rows, [f"diff_{c}" for c in MEAN_COLS] + ["elo_diff", "rest_diff"], 2)
 
 
 @query("parameter_choice")
 def parameter_choice(spark, sf):
     rows = player_rows(spark, sf)
-    grid = [{"depth": d, "rounds": 5} for d in (3, 5)]
-    return models.chosen_parameters(rows, player_model_columns(rows), "pts", grid, folds=2)
+    return models.chosen_parameters(rows, player_model_columns(rows), "pts")
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
     rows = player_rows(spark, sf)
-    return models.feature_importance(spark, rows, player_model_columns(rows), "pts", trees=10)
+    return models.feature_importance(rows, player_model_columns(rows), 2)
 
 
 def event_stream(spark, sf):

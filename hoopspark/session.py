@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -17,6 +19,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "hoopsp
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.scheduler.mode", "FAIR")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -46,9 +49,20 @@ def work_folder(spark: SparkSession, name: str = "table") -> str:
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a frame as a table in the shared folder and read it back: computed once, short lineage, and
-    safe when executors are lost."""
+def written(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
+    """Write a frame as a table in the shared folder, one folder per value of by, and read it back: computed once, short
+    lineage, and safe when executors are lost."""
     folder = work_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    (df.write.partitionBy(by) if by else df.write).parquet(folder)
     return df.sparkSession.read.parquet(folder)
+
+
+def run_jobs(spark: SparkSession, jobs: list, workers: int = 8) -> list:
+    """Results of independent Spark jobs, a bounded number of them at a time, each in a pool of its own under a fair scheduler:
+    many short jobs of iterative learners keep the executors busy together."""
+    def one(place: int, job):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"job-{place % workers}")
+        return job()
+
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(one), i, job) for i, job in enumerate(jobs)]]
