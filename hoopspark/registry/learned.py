@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from hoopspark.operators import elo, evaluation, models
@@ -133,11 +135,12 @@ def event_stream(spark, sf):
 @query("latest_live_scores", f"""WITH {EV} SELECT gameId::VARCHAR AS game_id, arg_max(k, (ts, k, event_id)) AS home_score, arg_max(event_id, (ts, k, event_id)) AS snapshot FROM ev GROUP BY gameId""")
 def latest_live_scores(spark, sf):
     snapshots = event_stream(spark, sf).select(
-        F.col("gameId").cast("string").alias("game_id"), "ts", F.col("k").alias("home_score"), F.col("event_id").alias("snapshot"))
-    return live.gather(snapshots, live.latest_scores, work_folder(spark, "stream")).drop("ts")
+        F.col("gameId").cast("string").alias("game_id"), "game_date", "ts", F.col("k").alias("home_score"), F.col("event_id").alias("snapshot"))
+    return live.gather(snapshots, partial(live.latest_scores, bucket="game_date"), work_folder(spark, "stream"), "game_date").drop("ts", "game_date")
 
 
 @query("running_box_scores", f"WITH {PBP}, {SHOTS}, {COUNTERS}, {DEFENCE} SELECT * FROM shots JOIN counters USING (gameId, personId) JOIN defence USING (gameId, personId)")
 def running_box_scores(spark, sf):
-    plays = actions(event_stream(spark, sf))
-    return live.running_box(live.gather(plays.unionByName(plays), live.distinct_plays, work_folder(spark, "stream")))
+    plays = actions(event_stream(spark, sf)).withColumn("game_date", F.to_date("ts"))
+    return live.gather(plays.unionByName(plays), live.distinct_plays, work_folder(spark, "stream"), "game_date",
+                       lambda state: live.running_box(state, "game_date")).drop("game_date")

@@ -2,11 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from hoopspark.operators import boxscore
 from hoopspark.schemas import PBP_COLUMNS
-from hoopspark.session import work_folder
 from hoopspark.sources import feeds, tables
-from hoopspark.streaming import live
 
 
 def test_play_files_carry_their_season(spark, tmp_path):
@@ -38,26 +35,6 @@ def test_append_keeps_the_existing_row(spark):
     assert sorted((r.gameId, r.pts) for r in tables.append_rows(old, new, ["gameId", "personId"]).collect()) == [(1, 10), (2, 5)]
 
 
-def test_streams_in_any_split_and_order_equal_the_batch(spark, tmp_path):
-    """Seven files, one per batch, newest day first and with plays sent twice."""
-    from hoopspark.registry.bind import actions, events
-
-    rows = events(spark, "/root/testdata/sf0.001").withColumn("ts", F.col("ts").cast("timestamp"))
-    plays = actions(rows).withColumn("ts", F.col("ts").cast("timestamp"))
-    plays.repartitionByRange(5, F.desc("ts")).write.parquet(str(tmp_path / "in"))
-    plays.where("actionNumber % 5 = 0").repartition(2, "gameId").write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(plays.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = live.running_box(live.gather(stream, live.distinct_plays, work_folder(spark, "stream")))
-    want = boxscore.player_rows(plays).groupBy(*boxscore.KEY).agg(*boxscore.running_counts())
-    cols = sorted(want.columns)
-    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
-    shots = rows.select(F.col("gameId").cast("string").alias("game_id"), "ts", F.col("k").alias("home_score"))
-    shots.repartitionByRange(5, F.desc("ts")).write.parquet(str(tmp_path / "scores"))
-    scores = spark.readStream.schema(shots.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "scores"))
-    newest = live.gather(scores, live.latest_scores, work_folder(spark, "stream"))
-    assert sorted(map(str, newest.collect())) == sorted(map(str, live.latest_scores(shots).collect()))
-
-
 def test_a_team_listed_by_two_payloads_is_one_team(spark):
     team = "struct<id:string,abbreviation:string>"
     teams = spark.createDataFrame([(json.dumps({"sports": [{"leagues": [{"teams": [{"team": {"id": "7", "abbreviation": "BOS"}}]}]}]}),)] * 2, "j string")
