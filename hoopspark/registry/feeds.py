@@ -10,6 +10,7 @@ from hoopspark.functions.windows import latest_values
 from hoopspark.operators import quality, rosters, teams
 from hoopspark.registry.bind import BOX, EV, PBP, RAW_BOX, SCHED, box, events, pbp, r6, raw_box, schedule, table
 from hoopspark.registry.core import query
+from hoopspark.session import work_folder
 from hoopspark.sources import feeds, gamelog, tables
 
 CODES = [t[0] for t in teams.TEAMS]
@@ -110,6 +111,36 @@ def appended_season(spark, sf):
     return tables.append_rows(rows.where("season <= 2"), new.unionByName(new), ["gameId", "personId"]).drop("season")
 
 
+@query("upserted_seasons", f"""WITH {BOX} SELECT gameId, personId, season, CASE WHEN season <= 2 THEN pts ELSE pts + 100 END AS pts FROM box""")
+def upserted_seasons(spark, sf):
+    """The same through a stored table: two seasons written, then the new log brought in twice."""
+    path, keys = work_folder(spark, "seasons"), ["gameId", "personId"]
+    rows = box(spark, sf).select(*keys, "season", "pts")
+    new = rows.where("season >= 2").withColumn("pts", F.col("pts") + 100)
+    for part in (rows.where("season <= 2"), new.unionByName(new), new):
+        tables.upsert_seasons(part, path, keys)
+    return tables.read_table(spark, path).select(*keys, "season", "pts")
+
+
+FIELDS = {"gameId": "bigint", "personId": "bigint", "pts": "int", "value": "double"}
+
+
+@query("rejected_rows", """WITH ev AS (SELECT event_id, value, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k, event_id % 40 AS kind FROM events)
+  SELECT CASE kind WHEN 0 THEN 'wrong number of fields' WHEN 1 THEN 'no gameId' WHEN 2 THEN 'pts is no int' WHEN 3 THEN 'value is no double' ELSE 'good' END AS reason,
+         count(*) AS n, CAST(sum(CASE WHEN kind > 3 THEN k END) AS BIGINT) AS pts FROM ev GROUP BY 1""")
+def rejected_rows(spark, sf):
+    """Event lines of which some lack fields, a game, or numbers; good and rejected rows of one reading, counted by reason."""
+    k, kind = F.get_json_object("props", "$.k"), F.col("event_id") % 40
+    line = F.when(kind == 0, F.concat_ws(",", F.col("event_id"), F.col("user_id"))).otherwise(F.concat_ws(
+        ",", F.when(kind == 1, "").otherwise(F.col("event_id").cast("string")), F.col("user_id"), F.when(kind == 2, "x").otherwise(k),
+        F.when(kind == 3, "n/a").otherwise(F.col("value").cast("string"))))
+    folder = work_folder(spark, "lines")
+    table(spark, sf, "events").select(line.alias("value")).write.text(folder)
+    good, rejected = tables.read_checked(spark, folder, FIELDS, ["gameId", "personId"], header=False)
+    counted = good.select(F.lit("good").alias("reason"), "pts").unionByName(rejected.select("reason", F.lit(None).cast("int").alias("pts")))
+    return counted.groupBy("reason").agg(F.count("*").alias("n"), F.sum("pts").alias("pts"))
+
+
 def team_payloads(spark, sf):
     t = F.struct(F.struct(F.col("n_nationkey").cast("string").alias("id"), at(FEED_CODES, F.col("n_nationkey")).alias("abbreviation")).alias("team"))
     payload = F.struct(F.array(F.struct(F.array(F.struct(F.array(t).alias("teams"))).alias("leagues"))).alias("sports"))

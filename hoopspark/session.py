@@ -53,7 +53,10 @@ def written(df: DataFrame, name: str = "table", by: str | None = None) -> DataFr
     """Write a frame as a table in the shared folder, one folder per value of by, and read it back: computed once, short
     lineage, and safe when executors are lost."""
     folder = work_folder(df.sparkSession, name)
-    (df.write.partitionBy(by) if by else df.write).parquet(folder)
+    if by:
+        df.write.partitionBy(by).parquet(folder)
+        return df.sparkSession.read.schema(df.schema).parquet(folder)      # an empty table has no files to tell
+    df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
 
 
