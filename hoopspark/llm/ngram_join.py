@@ -11,7 +11,7 @@ size class of the sets, own and next smaller, so that texts of far sizes never m
 Equal sets are one class, known by its smallest id. Classes that share a signature are candidates; their signatures are
 taken once more from an order counted on all their shingles, in which far fewer meet. Then every candidate is
 verified against one hub of each signature, which joins most groups of near copies; last only pairs that are not yet in
-one component are verified, with all their shingles. No link between different components is left out, and a group of
+one component, and whose parity sketches leave room for the similarity, are verified, with all their shingles. No link between different components is left out, and a group of
 copies is never paired with itself.
 
 Null texts and texts without words are empty sets and linked with nothing; a null id takes part in no link and has no
@@ -25,6 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ WORDS, PERCENT = 3, 90
 PAIRS_FROM, TRIPLES_FROM = 64, 4096      # documents from which a shingle is combined in twos and in threes
 PER_CLASS = {2: 10, 3: 6}                # losses that a class of pairs and one of triples should stand, about
 HUB_ROUNDS = 2
+SKETCH_BITS = 1024
+SKETCH_WORDS = SKETCH_BITS // 64
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -176,16 +179,18 @@ def _whole_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, rows, found, whose in _sets(batch, words):
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=rows))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.ListArray.from_arrays(pa.array(cuts), pa.array(found.view(np.int64)))],
-                                                 names=["id", "tokens"])
+                n = np.bincount(whose, minlength=rows)
+                cuts = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.ListArray.from_arrays(pa.array(cuts), pa.array(found.view(np.int64))),
+                                                  pa.array(_fingerprints(found, whose, rows)[0].view(np.int64)), pa.array(n.astype(np.int32))],
+                                                 names=["id", "tokens", "k", "n"])
     return run
 
 
 def narrowed(sets: DataFrame, percent: int) -> DataFrame:
     """(sig, id, n): signatures of the candidates again, in an order counted on all shingles that candidates have. A set
     with more shingles of its own than it may lose has none, so copies that differ too much are no candidates any more."""
-    rows = sets.select("id", F.xxhash64("tokens").alias("k"), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    rows = sets.select("id", "k", "n", F.explode("tokens").alias("token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = rows.join(counts, "token").groupBy("id", "k", "n").agg(F.collect_list("token").alias("tokens"), F.collect_list("df").alias("df"))
     return (shared.select("id", "n", F.col("n").alias("n_first"), F.lit(False).alias("whole"), "tokens", "df")
@@ -205,6 +210,32 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("a_tokens") + F.size("b_tokens") - common)).select("a", "b").distinct()
 
 
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each set, whether the number of its shingles that fall on each of SKETCH_BITS places is odd."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            lists = part.column(1)
+            bits = (mix(lists.flatten().to_numpy().view(np.uint64)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+            owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy())
+            odd = np.bincount(owner * SKETCH_BITS + bits, minlength=part.num_rows * SKETCH_BITS).reshape(part.num_rows, -1) & 1
+            words = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, np.ascontiguousarray(words.T))], names=["id", *(f"s{i}" for i in range(SKETCH_WORDS))])
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """id and the parity sketch of its set. Where two sketches differ the sets do: their distance in bits is never more than the number
+    of shingles that only one of two sets has."""
+    return sets.select("id", "tokens").mapInArrow(_sketch, "id long, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))).dropDuplicates(["id"])
+
+
+def _may_reach(percent: int):
+    """Whether two sketches leave room for the similarity: of sets of a and b shingles, linked ones have at most
+    (a + b) (100 - percent) / (100 + percent) shingles apart."""
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    return apart * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent)
+
+
 def _close(percent: int, x: str, y: str):
     return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
@@ -224,9 +255,11 @@ def links_of(sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         label = written(components(found, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("label")), "labels")
     rows = sigs.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
-    open_rows = written(rows.join(mixed, "sig"), "open")
-    a, b = (open_rows.select("sig", F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("label").alias(f"{x}l")) for x in "ab")
-    rest = a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.col("al") != F.col("bl")) & _close(percent, "an", "bn")).select("a", "b").distinct()
+    unmet = written(rows.join(mixed, "sig"), "open")
+    open_rows = written(unmet.join(sketches(sets.join(unmet.select("id").distinct(), "id", "left_semi")), "id"), "open")
+    a, b = (open_rows.select("sig", F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("label").alias(f"{x}l"), *(F.col(f"s{i}").alias(f"{x}{i}") for i in range(SKETCH_WORDS)))
+            for x in "ab")
+    rest = a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.col("al") != F.col("bl")) & _close(percent, "an", "bn") & _may_reach(percent)).select("a", "b").distinct()
     return found.unionByName(verified(written(rest, "pairs"), sets, percent))
 
 
@@ -245,7 +278,7 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     several = rows.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
     sigs = written(rows.join(several, "sig"), "signatures")
     ids = written(sigs.select("id").distinct(), "candidates")
-    whole = texts.join(bounded(ids, ids.count()), "id", "left_semi").mapInArrow(_whole_sets(words), "id long, tokens array<long>")
+    whole = texts.join(bounded(ids, ids.count()), "id", "left_semi").mapInArrow(_whole_sets(words), "id long, tokens array<long>, k long, n int")
     sets = written(whole, "sets")
     links = links_of(written(narrowed(sets, percent), "signatures"), sets, percent)
     label = components(links, "a", "b")

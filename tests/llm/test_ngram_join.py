@@ -111,3 +111,17 @@ def test_components_of_paths_stars_and_cycles(spark):
     got = dict(components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect())
     assert got == {**{i: 0 for i in range(51)}, 100: 100, **{200 + i: 100 for i in range(40)}, 300: 300, 301: 300, 302: 300}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_sketches_never_hide_a_link(spark):
+    rnd = random.Random(21)
+    made = []
+    for i in range(60):
+        base = [rnd.getrandbits(63) for _ in range(rnd.choice([1, 5, 80, 700, 3000]))]
+        made += [(2 * i, base), (2 * i + 1, [t for t in base if rnd.random() > .04] + [rnd.getrandbits(63) for _ in range(rnd.randint(0, len(base) // 20))])]
+    found = {r["id"]: [r[f"s{k}"] for k in range(ngram_join.SKETCH_WORDS)] for r in ngram_join.sketches(spark.createDataFrame(made, "id long, tokens array<long>")).collect()}
+    sets = {i: set(t) for i, t in made}
+    for i in sets:
+        for j in sets:
+            bits = sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(found[i], found[j]))
+            assert bits <= len(sets[i] ^ sets[j])
