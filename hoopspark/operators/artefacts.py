@@ -16,7 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hoopspark.sources.tables import _exists
+from hoopspark.session import path_exists
 
 ROW = "name string, version int, folder string, stages array<string>, features array<string>, target string, last_training_season int, errors map<string,double>"
 
@@ -35,7 +35,7 @@ class Published:
 def versions(spark: SparkSession, folder: str) -> DataFrame:
     """All published versions, one row each."""
     path = f"{folder}/versions"
-    return spark.read.schema(ROW).parquet(path) if _exists(spark, path) else spark.createDataFrame([], ROW)
+    return spark.read.schema(ROW).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], ROW)
 
 
 def publish(model: Model, folder: str, name: str, features: list[str], target: str, last_training_season: int, errors: dict[str, float], spark: SparkSession) -> int:

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from hoopspark.operators import artefacts, elo, evaluation, inference, models
 from hoopspark.operators.columns import game_model_columns, player_model_columns
-from hoopspark.plans import season
-from hoopspark.registry.bind import BOX, EV, PBP, SCHED, actions, box, events, r6, schedule, settle, settled
+from hoopspark.registry.bind import BOX, EV, PBP, actions, box, events, r6, settle, settled
 from hoopspark.registry.core import query
 from hoopspark.registry.court import COUNTERS, DEFENCE, SHOTS
-from hoopspark.registry.play import GAME_ROWS, MEAN_COLS, game_scores, game_table
+from hoopspark.registry.play import MEAN_COLS, game_scores, game_table
 from hoopspark.registry.series import ELO, EWMA, FEAT, MATRIX, POINTS, SEASON, games_with_league, matrix, rounded
 from hoopspark.session import work_folder, written
 from hoopspark.streaming import live

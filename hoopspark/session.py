@@ -49,6 +49,12 @@ def work_folder(spark: SparkSession, name: str = "table") -> str:
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def written(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
     """Write a frame as a table in the shared folder, one folder per value of by, and read it back: computed once, short
     lineage, and safe when executors are lost."""

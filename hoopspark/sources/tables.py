@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hoopspark.functions.windows import top_rows
 from hoopspark.schemas import MATCHUP_COLUMNS, PBP_COLUMNS, PBP_DROPPED, PBP_TYPES, SHOT_COLUMNS
-from hoopspark.session import work_folder, written
+from hoopspark.session import path_exists, work_folder, written
 
 SEASON_IN_NAME = r"_(\d+)\.[^/]*$"
 
@@ -84,11 +84,6 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
 def upsert_seasons(new: DataFrame, path: str, keys: list[str], replace: bool = False) -> list:
     """Bring rows into a table partitioned by season; returns the seasons written.
 
@@ -106,7 +101,7 @@ def upsert_seasons(new: DataFrame, path: str, keys: list[str], replace: bool = F
     seasons = sorted(r["season"] for r in fresh.select("season").distinct().collect())
     if not seasons:
         return []
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         write_seasons(fresh, path)
         return seasons
     there = read_table(spark, path).where(F.col("season").isin(seasons))
