@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()      # tables that written made
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "hoopspark") -> SparkSession:
@@ -46,7 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def work_folder(spark: SparkSession, name: str = "table") -> str:
     """A fresh folder beside the checkpoints, in the shared folder the cluster names."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    parent = _scratch.get() or spark.sparkContext.getCheckpointDir()
+    return f"{parent.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -61,9 +67,43 @@ def written(df: DataFrame, name: str = "table", by: str | None = None) -> DataFr
     folder = work_folder(df.sparkSession, name)
     if by:
         df.write.partitionBy(by).parquet(folder)
-        return df.sparkSession.read.schema(df.schema).parquet(folder)      # an empty table has no files to tell
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+        frame = df.sparkSession.read.schema(df.schema).parquet(folder)      # an empty table has no files to tell
+    else:
+        df.write.parquet(folder)
+        frame = df.sparkSession.read.parquet(folder)
+    _folders[frame] = folder
+    return frame
+
+
+def _delete(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders, and have the driver look for shuffles that no table needs any more: their files lie on the executors
+    until it does."""
+    for folder in folders:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    spark._jvm.System.gc()
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete tables that written made, once all that reads them has been stored. Other frames are left alone."""
+    folders = [folder for t in tables if (folder := _folders.pop(t, None))]
+    if folders:
+        _delete(tables[0].sparkSession, folders)
+
+
+def condensed(spark: SparkSession, job: Callable[[], DataFrame], name: str = "table") -> DataFrame:
+    """What a job returns, stored; every table that it wrote on the way is removed, also when it fails. Only folders made
+    inside the job are touched, and a job may hold further ones."""
+    target, inner = work_folder(spark, name), work_folder(spark, "scratch")
+    outer = _scratch.set(inner)
+    try:
+        job().write.parquet(target)
+    finally:
+        _scratch.reset(outer)
+        _delete(spark, [inner])
+    frame = spark.read.parquet(target)
+    _folders[frame] = target
+    return frame
 
 
 def run_jobs(spark: SparkSession, jobs: list, workers: int = 8) -> list:

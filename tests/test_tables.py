@@ -91,3 +91,30 @@ def test_published_models(spark, tmp_path):
         artefacts.score(rows.drop("b"), current, ["row"])
     with pytest.raises(LookupError):
         artefacts.load(other, folder, "points", 3)
+
+
+def test_condensed_keeps_its_result_and_removes_what_led_to_it(spark):
+    from hoopspark.session import condensed, path_exists, remove, written
+
+    before, seen = written(spark.range(5), "before"), []
+
+    def inner():
+        own = written(spark.range(7), "inner")
+        seen.append(own.inputFiles()[0])
+        return own
+
+    def outer():
+        own = condensed(spark, inner, "own")
+        seen.append(own.inputFiles()[0])
+        assert not path_exists(spark, seen[0])
+        return own.unionByName(before)
+
+    got = condensed(spark, outer, "outer")
+    assert got.count() == 12 and not any(path_exists(spark, f) for f in seen)
+    with pytest.raises(ZeroDivisionError):
+        condensed(spark, lambda: seen.append(written(spark.range(1)).inputFiles()[0]) or 1 / 0)
+    assert not path_exists(spark, seen[-1])
+    files = before.inputFiles()
+    remove(before, spark.range(1))
+    assert got.count() == 12 and not path_exists(spark, files[0])
+    remove(before)
