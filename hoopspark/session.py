@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -13,6 +14,8 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+LOOK_EVERY = 5      # seconds
+_looked = 0.0
 _folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()      # tables that written made
 _scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
@@ -63,7 +66,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def written(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
     """Write a frame as a table in the shared folder, one folder per value of by, and read it back: computed once, short
-    lineage, and safe when executors are lost."""
+    lineage, and safe when executors are lost. The shuffles behind it are given up."""
     folder = work_folder(df.sparkSession, name)
     if by:
         df.write.partitionBy(by).parquet(folder)
@@ -72,16 +75,24 @@ def written(df: DataFrame, name: str = "table", by: str | None = None) -> DataFr
         df.write.parquet(folder)
         frame = df.sparkSession.read.parquet(folder)
     _folders[frame] = folder
+    give_up_shuffles(df.sparkSession)
     return frame
 
 
+def give_up_shuffles(spark: SparkSession) -> None:
+    """Have the driver look for shuffles that no job needs any more: their files lie on the executors until it does. Looking
+    takes a moment, so it is done every few seconds at most."""
+    global _looked
+    if time.monotonic() - _looked >= LOOK_EVERY:
+        spark._jvm.System.gc()
+        _looked = time.monotonic()
+
+
 def _delete(spark: SparkSession, folders: list[str]) -> None:
-    """Delete folders, and have the driver look for shuffles that no table needs any more: their files lie on the executors
-    until it does."""
     for folder in folders:
         place = spark._jvm.org.apache.hadoop.fs.Path(folder)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    spark._jvm.System.gc()
+    give_up_shuffles(spark)
 
 
 def remove(*tables: DataFrame) -> None:
