@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoopspark.session import written
+from hoopspark.session import remove, written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -31,5 +31,6 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of at least one link. Each round is a stored table."""
     now = written(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "links")
     while not _settled(now):
-        now = written(_star(_star(now, True), False), "links")
+        before, now = now, written(_star(_star(now, True), False), "links")
+        remove(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

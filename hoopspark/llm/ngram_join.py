@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 
 from hoopspark.llm.components import components
 from hoopspark.llm.shared import LIMIT_BROADCAST, distinct_pairs, mix, shingles, span_hashes, text_slices, word_spans
-from hoopspark.session import written
+from hoopspark.session import condensed, remove, written
 
 WORDS, PERCENT = 3, 90
 PAIRS_FROM, TRIPLES_FROM = 64, 4096      # documents from which a shingle is combined in twos and in threes
 PER_CLASS = {2: 10, 3: 6}                # losses that a class of pairs and one of triples should stand, about
 HUB_ROUNDS = 2
-SKETCH_BITS = 1024
-SKETCH_WORDS = SKETCH_BITS // 64
+SKETCH_WORDS = 16                        # 64-bit words of a parity sketch
+CARRIED_WORDS = 2                        # sketches up to this long are compared with every hub, too
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -210,29 +210,33 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("a_tokens") + F.size("b_tokens") - common)).select("a", "b").distinct()
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each set, whether the number of its shingles that fall on each of SKETCH_BITS places is odd."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            lists = part.column(1)
-            bits = (mix(lists.flatten().to_numpy().view(np.uint64)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-            owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy())
-            odd = np.bincount(owner * SKETCH_BITS + bits, minlength=part.num_rows * SKETCH_BITS).reshape(part.num_rows, -1) & 1
-            words = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, np.ascontiguousarray(words.T))], names=["id", *(f"s{i}" for i in range(SKETCH_WORDS))])
+def _sketch(n_words: int):
+    """For each set, whether the number of its shingles that fall on each of 64 n_words places is odd."""
+    places = 64 * n_words
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                lists = part.column(1)
+                bits = (mix(lists.flatten().to_numpy().view(np.uint64)) % np.uint64(places)).astype(np.int64)
+                owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy())
+                odd = np.bincount(owner * places + bits, minlength=part.num_rows * places).reshape(part.num_rows, -1) & 1
+                words = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, np.ascontiguousarray(words.T))], names=["id", *(f"s{i}" for i in range(n_words))])
+    return run
 
-def sketches(sets: DataFrame) -> DataFrame:
+
+def sketches(sets: DataFrame, n_words: int = SKETCH_WORDS) -> DataFrame:
     """id and the parity sketch of its set. Where two sketches differ the sets do: their distance in bits is never more than the number
     of shingles that only one of two sets has."""
-    return sets.select("id", "tokens").mapInArrow(_sketch, "id long, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))).dropDuplicates(["id"])
+    return sets.select("id", "tokens").mapInArrow(_sketch(n_words), "id long, " + ", ".join(f"s{i} long" for i in range(n_words))).dropDuplicates(["id"])
 
 
-def _may_reach(percent: int):
+def _may_reach(percent: int, n_words: int):
     """Whether two sketches leave room for the similarity: of sets of a and b shingles, linked ones have at most
     (a + b) (100 - percent) / (100 + percent) shingles apart."""
-    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, n_words)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
     return apart * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent)
 
 
@@ -240,35 +244,44 @@ def _close(percent: int, x: str, y: str):
     return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
 
-def links_of(sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between classes, enough of them to connect all that are connected. sigs: stored (sig, id, n)."""
+def _side(side: str, n_words: int) -> list:
+    """The columns of one of two sides of a comparison."""
+    return [F.col("id").alias(side), F.col("n").alias(f"{side}n"), F.col("label").alias(f"{side}l"), *(F.col(f"s{i}").alias(f"{side}{i}") for i in range(n_words))]
+
+
+def links_of(sigs: DataFrame, sets: DataFrame, percent: int, n_words: int = SKETCH_WORDS) -> DataFrame:
+    """Links between classes, enough of them to connect all that are connected. sigs: stored (sig, id, n). Sketches of n_words
+    words stand beside the signatures from the start if they are short, else only in the last join."""
     spark = sigs.sparkSession
-    found = spark.createDataFrame([], "a long, b long")
-    label = None
+    early = n_words if n_words <= CARRIED_WORDS else 0
+    known = written(sigs.join(sketches(sets, n_words), "id"), "sketched") if early else sigs
+    fits = _close(percent, "an", "bn") & (F.col("al") != F.col("bl"))
+    fits_early = fits & _may_reach(percent, early) if early else fits
+    found, label = spark.createDataFrame([], "a long, b long"), None
     for turn in range(HUB_ROUNDS):
-        rows = sigs if label is None else sigs.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        rank = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("rank"), "id", "n", *(["label"] if turn else []))
-        hubs = rows.groupBy("sig").agg(F.min(rank).alias("hub"), F.count("*").alias("k")).where("k > 1").select("sig", F.col("hub.id").alias("a"), F.col("hub.n").alias("an"), *([F.col("hub.label").alias("al")] if turn else []))
-        pairs = rows.join(hubs, "sig").where((F.col("id") != F.col("a")) & _close(percent, "n", "an"))
-        pairs = (pairs.where("label <> al") if turn else pairs).select("a", F.col("id").alias("b")).distinct()
-        found = written(found.unionByName(verified(written(pairs, "pairs"), sets, percent)), "verified")
-        label = written(components(found, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("label")), "labels")
-    rows = sigs.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        rows = known.withColumn("label", F.col("id")) if label is None else known.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        rank = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("rank"), "id", "n", "label", *(f"s{i}" for i in range(early)))
+        hubs = rows.groupBy("sig").agg(F.min(rank).alias("hub"), F.count("*").alias("k")).where("k > 1").select("sig", "hub.*")
+        pairs = written(rows.select("sig", *_side("b", early)).join(hubs.select("sig", *_side("a", early)), "sig").where(fits_early).select("a", "b").distinct(), "pairs")
+        before, found = found, written(found.unionByName(verified(pairs, sets, percent)), "verified")
+        remove(pairs, before)
+        before, label = label, written(components(found, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("label")), "labels")
+        if before is not None:
+            remove(before)
+    rows = known.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
     unmet = written(rows.join(mixed, "sig"), "open")
-    open_rows = written(unmet.join(sketches(sets.join(unmet.select("id").distinct(), "id", "left_semi")), "id"), "open")
-    a, b = (open_rows.select("sig", F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("label").alias(f"{x}l"), *(F.col(f"s{i}").alias(f"{x}{i}") for i in range(SKETCH_WORDS)))
-            for x in "ab")
-    rest = a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.col("al") != F.col("bl")) & _close(percent, "an", "bn") & _may_reach(percent)).select("a", "b").distinct()
-    return found.unionByName(verified(written(rest, "pairs"), sets, percent))
+    if not early:
+        bare, unmet = unmet, written(unmet.join(sketches(sets.join(unmet.select("id").distinct(), "id", "left_semi"), n_words), "id"), "open")
+        remove(bare)
+    a, b = (unmet.select("sig", *_side(side, n_words)) for side in "ab")
+    rest = written(a.join(b, "sig").where((F.col("a") < F.col("b")) & fits & _may_reach(percent, n_words)).select("a", "b").distinct(), "pairs")
+    remove(unmet, label)
+    return found.unionByName(verified(rest, sets, percent))
 
 
-def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    profile = written(texts.mapInArrow(_profile(words), "id long, n long, f1 long, f2 long"), "profile")
-    named = profile.where("id is not null and n > 0")
-    known = written(named.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "classes")
+def _labels(texts: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, component) of the classes that have links. texts: (id, text); known: (n, f1, f2, rep)."""
     tokens = texts.where("id is not null").mapInArrow(_tokens(words, percent), "token long, f1 long, n int, n_first int, whole boolean")
     tokens = tokens.select("token", F.struct("f1", "n", "n_first", "whole").alias("s"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -277,11 +290,21 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     rows = written(raw.join(known.select("f1", F.col("n").cast("int").alias("n"), F.col("rep").alias("id")), ["f1", "n"]).select("sig", "id", "n").distinct(), "signatures")
     several = rows.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
     sigs = written(rows.join(several, "sig"), "signatures")
+    remove(rows)
     ids = written(sigs.select("id").distinct(), "candidates")
+    remove(sigs)
     whole = texts.join(bounded(ids, ids.count()), "id", "left_semi").mapInArrow(_whole_sets(words), "id long, tokens array<long>, k long, n int")
     sets = written(whole, "sets")
-    links = links_of(written(narrowed(sets, percent), "signatures"), sets, percent)
-    label = components(links, "a", "b")
+    return components(links_of(written(narrowed(sets, percent), "signatures"), sets, percent), "a", "b")
+
+
+def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    profile = written(texts.mapInArrow(_profile(words), "id long, n long, f1 long, f2 long"), "profile")
+    named = profile.where("id is not null and n > 0")
+    known = written(named.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "classes")
+    label = condensed(docs.sparkSession, lambda: _labels(texts, known, words, percent), "components")
     placed = known.join(label, known["rep"] == label["node"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = profile.join(placed, ["n", "f1", "f2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
@@ -291,5 +314,5 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 def keep_one(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the smallest id of every component, with their own columns; rows without an id or words stay, and rows
     that repeat an id stay or go together."""
-    gone = written(join_components(docs, words, percent, id_col, text_col).where(F.col("component_id") < F.col(id_col)).select(id_col).distinct(), "removed")
+    gone = condensed(docs.sparkSession, lambda: join_components(docs, words, percent, id_col, text_col).where(F.col("component_id") < F.col(id_col)).select(id_col).distinct(), "removed")
     return docs.join(bounded(gone, gone.count()), id_col, "left_anti").select(*docs.columns)
