@@ -10,15 +10,16 @@ holding a third of all rows is then spread over its ranges, and the result is th
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 UNBOUNDED = Window.unboundedPreceding
-EWMA_BLOCK = 1024
-FORGOTTEN = -37.0      # logarithm of a weight below the last bit of a double: what an older mean counts for at most after a long gap
 
 
 def series(keys: Sequence[str], order: Sequence[str]):
@@ -65,38 +66,78 @@ def change_runs(df: DataFrame, keys, order, col: str, run: str, position: str) -
 def ewma_means(
     df: DataFrame, keys, order, cols, alpha: float = 0.3, suffix: str = "_ewma"
 ) -> DataFrame:
-    """Exponentially weighted mean of all earlier rows, weights decaying across null rows.
-
-    With decay ``d = 1 - alpha`` and ``g`` rows since the previous value, a value ``x`` moves the mean to
-    ``a*y + c*x`` with ``a = d**g / (d**g + alpha)`` and ``c = alpha / (d**g + alpha)``. The products of the
-    ``a`` become sums of logarithms, so every step is a running sum: constant work per row, where collecting
-    the trailing rows would cost a hundred times more. Logarithms restart every ``EWMA_BLOCK`` rows to stay
-    inside double range; the mean at the end of the block before is carried in. A gap of nulls that fades a mean below the
-    last bit of a double counts as FORGOTTEN, however long it is.
+    """Exponentially weighted mean of all earlier rows, weights decaying across null rows."""
+    return ewma_series(df, keys, order, [([], cols, suffix)], alpha)
+
+
+def ewma_series(
+    df: DataFrame, keys, order, series: Sequence[tuple[Sequence[str], Sequence[str], str]], alpha: float = 0.3
+) -> DataFrame:
+    """Exponentially weighted means of several kinds in one pass: for each (runs, columns, suffix) of ``series`` the means
+    start over with each key and with each value of the runs, which do not come back in a key's order.
+
+    A mean hangs on the mean before it, which no window expresses. Rows are hashed by key and sorted, and a task streams them in
+    Arrow batches: all series of a batch advance together, row by row, and one state per column is carried to the next batch.
     """
-    decay = 1.0 - alpha
-    key, cols = ", ".join(keys), list(cols)
-    earlier = f"OVER (PARTITION BY {key} ORDER BY _blk, _pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    block = f"OVER (PARTITION BY {key}, _blk ORDER BY _pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-
-    def step(frame: DataFrame, *templates: str) -> DataFrame:
-        return frame.selectExpr("*", *[t.format(c=c) for t in templates for c in cols])
-
-    df_cols = df.columns
-    rows = df.selectExpr("*", f"row_number() OVER (PARTITION BY {key} ORDER BY {', '.join(order)}) AS _pos")
-    rows = rows.selectExpr("*", f"_pos div {EWMA_BLOCK} AS _blk")
-    # rows since the last value, and its fading d**g
-    rows = step(rows, f"last(CASE WHEN {{c}} IS NOT NULL THEN _pos END, true) {earlier} AS _p_{{c}}")
-    rows = step(rows, f"CASE WHEN {{c}} IS NOT NULL THEN power({decay}D, _pos - _p_{{c}}) END AS _f_{{c}}")
-    # running sums of ln(a) and of c*x / (product of the a so far), restarting with each block
-    rows = step(rows, f"sum(CASE WHEN _f_{{c}} IS NULL THEN 0D ELSE greatest(coalesce(ln(_f_{{c}} / (_f_{{c}} + {alpha}D)), {FORGOTTEN}D), {FORGOTTEN}D) END) "
-                      f"{block} AS _s_{{c}}")
-    rows = step(rows, f"CASE WHEN {{c}} IS NOT NULL THEN exp(_s_{{c}}) * sum(CAST({{c}} AS DOUBLE) "
-                      f"* coalesce({alpha}D / (_f_{{c}} + {alpha}D), 1D) * exp(-_s_{{c}})) {block} END AS _y_{{c}}")
-    # the mean at the end of the block before, carried in
-    rows = step(rows, f"last(_y_{{c}}, true) {earlier} AS _e_{{c}}")
-    rows = step(rows, f"_y_{{c}} + exp(_s_{{c}}) * coalesce(first(_e_{{c}}) {block}, 0D) AS _z_{{c}}")
-    return rows.selectExpr(*df_cols, *[f"last(_z_{c}, true) {earlier} AS {c}{suffix}" for c in cols])
+    runs = list(dict.fromkeys(r for own, _, _ in series for r in own))
+    added = [(f"{c}{suffix}", [*keys, *own], c) for own, cols, suffix in series for c in cols]
+    used = list(dict.fromkeys(c for _, _, c in added))
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *runs, *order)
+    wide = rows.withColumns({f"_x_{c}": F.col(c).cast("double") for c in used})
+    schema = StructType([*df.schema.fields, *[StructField(name, DoubleType()) for name, _, _ in added]])
+    return wide.mapInArrow(_ewma_stream(added, len(df.columns), 1.0 - alpha, alpha), schema)
+
+
+def _ewma_stream(added: list[tuple[str, list[str], str]], width: int, decay: float, alpha: float):
+    kinds = [list(k) for k in dict.fromkeys(tuple(k) for _, k, _ in added)]
+    names = {tuple(k): [c for _, own, c in added if own == k] for k in kinds}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            means = {}
+            for k in kinds:
+                x = [batch.column(f"_x_{c}") for c in names[tuple(k)]]
+                values = np.stack([c.to_numpy(zero_copy_only=False) for c in x], axis=1)
+                known = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in x], axis=1)
+                key = [batch.column(c) for c in k]
+                last, state = carried.get(tuple(k), (None, None))
+                follows = last is not None and all(own[0].equals(v) for own, v in zip(key, last))
+                y, there, state = _ewma_batch(values, known, _starts(key), state if follows else None, decay, alpha)
+                carried[tuple(k)] = [own[-1] for own in key], state
+                means |= {(tuple(k), c): pa.array(y[:, i], mask=~there[:, i]) for i, c in enumerate(names[tuple(k)])}
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *[means[tuple(k), c] for _, k, c in added]],
+                                             names=[*batch.schema.names[:width], *[name for name, _, _ in added]])
+    return run
+
+
+def _starts(key: list[pa.Array]) -> np.ndarray:
+    """Row numbers at which a batch's series begin."""
+    codes = [c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for c in key]
+    return np.flatnonzero(np.concatenate([[True], reduce(np.logical_or, [c[1:] != c[:-1] for c in codes])]))
+
+
+def _ewma_batch(values, known, starts, state, decay: float, alpha: float):
+    """Means before each row of a batch, which of them there are, and the state (mean, weight, whether there is one) after the
+    last row; the first series goes on from the given state."""
+    sizes = np.diff([*starts, len(values)])
+    y, w = np.zeros((len(starts), values.shape[1])), np.ones((len(starts), values.shape[1]))
+    has = np.zeros(y.shape, bool)
+    if state is not None:
+        y[0], w[0], has[0] = state
+    out, there = np.empty(values.shape), np.empty(values.shape, bool)
+    longest = np.argsort(-sizes, kind="stable")
+    left = np.searchsorted(-sizes[longest], -np.arange(1, sizes.max() + 1), side="right")
+    for place, n in enumerate(left):
+        s = longest[:n]                     # the series that have a row at this place
+        at = starts[s] + place
+        old, weight, mean, x, new = has[s], w[s] * decay, y[s], values[at], known[at]
+        out[at], there[at] = mean, old
+        moved = np.where(old, (weight * mean + alpha * x) / (weight + alpha), x)
+        y[s], w[s], has[s] = np.where(new, moved, mean), np.where(new | ~old, 1.0, weight), old | new
+    return out, there, (y[-1].copy(), w[-1].copy(), has[-1].copy())
 
 
 def latest_values(df: DataFrame, keys, order, cols) -> DataFrame:
@@ -194,6 +235,3 @@ def running_state(
         ],
         *[F.col(f"_next.{n}").alias(n) for n in ahead],
     )
-
-
-assert EWMA_BLOCK * -math.log(0.7) - 2 * FORGOTTEN < 700  # exp() of a block's sum of logarithms stays a finite double

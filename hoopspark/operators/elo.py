@@ -52,8 +52,18 @@ def elo_ratings(games: DataFrame, league: str, k: float = K, start: float = STAR
 
 def attach_elo(features: DataFrame, ratings: DataFrame, schedule: DataFrame) -> DataFrame:
     """Own and opposing team's rating before the game, and their difference."""
-    sides = ratings.drop("league").join(schedule.select("gameId", F.col("home_team_id").alias("_home")), "gameId")
-    joined = features.join(sides, "gameId", "left")
+    return own_and_opposing(features.join(sided(ratings, schedule), "gameId", "left"))
+
+
+RATED = ["home_elo", "away_elo", "team_elo", "opp_elo", "elo_diff"]
+
+
+def sided(ratings: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Ratings with the home team they belong to."""
+    return ratings.drop("league").join(schedule.select("gameId", F.col("home_team_id").alias("_home")), "gameId")
+
+
+def own_and_opposing(joined: DataFrame) -> DataFrame:
     home = F.coalesce(F.col("teamId") == F.col("_home"), F.lit(False))
     return joined.withColumns({
         "team_elo": F.when(home, F.col("home_elo")).otherwise(F.col("away_elo")),

@@ -6,12 +6,14 @@ player windows share one shuffle on the player; season and team-run windows refi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hoopspark.functions.scalars import half_even, ratio_or
 from hoopspark.functions.windows import (
-    change_runs, day_gap, ewma_means, expanding_means, trailing_means, trailing_sums,
+    change_runs, day_gap, ewma_means, ewma_series, expanding_means, trailing_means, trailing_sums,
 )
 
 # fixed values
@@ -67,6 +69,11 @@ def stint_ewma(df: DataFrame, stats=STINT_STATS) -> DataFrame:
     return ewma_means(df, [*PLAYER, "team_stint_id"], ORDER, stats, suffix="_stint_ewma")
 
 
+def weighted_means(df: DataFrame, stats=ROLL_STATS, stint_stats=STINT_STATS) -> DataFrame:
+    """Both kinds of weighted means in one pass over the players."""
+    return ewma_series(df, PLAYER, ORDER, [([], stats, "_ewma"), (["team_stint_id"], stint_stats, "_stint_ewma")])
+
+
 def season_to_date(df: DataFrame, stats=ROLL_STATS) -> DataFrame:
     return expanding_means(df, [*PLAYER, "season"], ORDER, stats)
 
@@ -169,10 +176,31 @@ def head_to_head(box: DataFrame, schedule: DataFrame, last: int = 10) -> DataFra
 
 
 def attach_head_to_head(df: DataFrame, box: DataFrame, schedule: DataFrame, last: int = 10) -> DataFrame:
-    joined = df.join(head_to_head(box, schedule, last), "gameId", "left")
+    return filled_head_to_head(df.join(head_to_head(box, schedule, last), "gameId", "left"))
+
+
+def filled_head_to_head(joined: DataFrame) -> DataFrame:
     return joined.na.fill({"h2h_win_pct_home": 0.5, "h2h_pts_diff_avg": 0.0, "h2h_games": 0})
 
 
+def listed(table: DataFrame, name: str) -> DataFrame:
+    """The rows of each game as one list (a game has two sides), so that a join neither adds rows nor takes any away."""
+    return table.where(F.col("gameId").isNotNull()).groupBy("gameId").agg(
+        F.collect_list(F.struct(*[c for c in table.columns if c != "gameId"])).alias(name))
+
+
+def matching(name: str, keys: list[str]) -> Column:
+    """The part of a list that agrees with the row's own keys."""
+    agree = lambda item: reduce(Column.__and__, [item[k] == F.col(k) for k in keys])
+    return F.filter(name, agree) if keys else F.col(name)
+
+
+def taken_out(df: DataFrame, name: str, cols: list[str]) -> DataFrame:
+    """A row for each item of a list, or one with nulls: what a left join with the listed table gives."""
+    rows = df.withColumn(name, F.explode_outer(name))
+    return rows.select(*[c for c in rows.columns if c != name], *[F.col(name)[c].alias(c) for c in cols])
+
+
 def attach_rolled(df: DataFrame, table: DataFrame | None, game: str = "game_id", widths=WIDTHS) -> DataFrame:
     """Merge the rolled columns of an optional player-game table (shots, matchups)."""
     if table is None:

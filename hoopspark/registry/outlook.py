@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hoopspark.operators import elo, features, predictions, reports, rosters, selection
+from hoopspark.operators import features, predictions, reports, rosters, selection
 from hoopspark.plans import season
-from hoopspark.registry.bind import BOX, EV, SCHED, box, events, r6, schedule, settle, settled, table
+from hoopspark.registry.bind import BOX, EV, SCHED, box, r6, schedule, season_tables, settle, settled, table
 from hoopspark.registry.core import query
 from hoopspark.registry.feeds import live_box_payloads
 from hoopspark.registry.lineup import INFER, POSITIONS, SCORE, best_sql, positions
 from hoopspark.registry.play import RESULTS
 from hoopspark.registry.series import (
-    EFF_COLS, ELO, ELO_JOIN, EWMA, LOADS, MATRIX, SEASON, base, games_with_league, matrix, rounded, with_minutes,
+    EFF_COLS, ELO, ELO_JOIN, EWMA, LOADS, MATRIX, SEASON, matrix, rated_matrix, with_minutes,
 )
 from hoopspark.session import written
 from hoopspark.sources import feeds
@@ -26,26 +26,29 @@ matp AS MATERIALIZED (SELECT m.gameId, m.season, m.game_date, m.personId, m.play
   {settled(USED, 'm.')}, round(e.team_elo, 6) AS team_elo FROM matrix m LEFT JOIN ej2 e ON e.gameId = m.gameId AND e.personId = m.personId)"""
 
 
-def rated(spark, sf):
-    """Feature matrix with team ratings, written once as the table the predictions read; rounded so that both
+def rated(tables):
+    """What the predictions read of the feature matrix with team ratings, written once; rounded so that both
     engines predict from the same numbers."""
-    ratings = elo.elo_ratings(games_with_league(spark, sf), "league")
-    rows = elo.attach_elo(matrix(spark, sf), ratings, schedule(spark, sf))
+    rows = rated_matrix(tables).select("gameId", "season", "game_date", "personId", "playerName", "teamTricode", *USED, "team_elo")
     return written(r6(settle(rows, *USED), "team_elo"), "features")
 
 
-def live_roster(spark, sf):
+def ids_of(tables):
+    return tables[0].select(F.col("personId").alias("user_id")).distinct()
+
+
+def live_roster(tables):
     """Everyone but each ninth player, on the team they started with, under an accented spelling."""
-    ids = events(spark, sf).select("user_id").distinct().where("user_id % 9 <> 0")
+    ids = ids_of(tables).where("user_id % 9 <> 0")
     return ids.select(
         F.concat(F.lit("PLÁYER "), F.col("user_id").cast("string")).alias("player_name"),
         F.expr("concat('T', user_id div 10)").alias("team_tri"),
         F.element_at(F.array(*map(F.lit, "GFC")), (F.col("user_id") % 3 + 1).cast("int")).alias("primary_pos"))
 
 
-def report(spark, sf):
+def report(tables):
     """Each eighth player (from the fourth) is on the report."""
-    ids = events(spark, sf).select(F.col("user_id").alias("u")).distinct().where("u % 8 = 3")
+    ids = ids_of(tables).withColumnRenamed("user_id", "u").where("u % 8 = 3")
     status = F.element_at(F.array(*map(F.lit, ["Out", "Doubtful", "Questionable", "Injured Reserve"])), ((F.col("u") / 8).cast("int") % 4 + 1))
     return ids.select(
         F.concat(F.lit(" Pláyer "), F.col("u").cast("string")).alias("player_name"), F.expr("concat('T', u div 10)").alias("team_tri"),
@@ -61,13 +64,14 @@ POOL = f"""lpool AS MATERIALIZED (SELECT teamTricode, personId, any_value(player
 outs AS (SELECT DISTINCT p.teamTricode, p.personId FROM lpool p JOIN inj i ON i.team_tri = p.teamTricode WHERE i.status_rank >= 4 AND contains(lower(p.playerName), 'player ' || i.u))"""
 
 
-def pool_of(spark, sf, rows=None):
-    rows = rated(spark, sf) if rows is None else rows
-    return predictions.current_players(rows, NOW, live_roster(spark, sf), ["playerName", *PCOLS])
+def pool_of(tables, rows=None):
+    """Current players, stored: selection, absences and context read them in turn."""
+    rows = rated(tables) if rows is None else rows
+    return written(predictions.current_players(rows, NOW, live_roster(tables), ["playerName", *PCOLS]), "pool")
 
 
-def outs_of(spark, sf, pool):
-    names = report(spark, sf).where(F.col("status_rank") >= rosters.SURE_OUT)
+def outs_of(tables, pool):
+    names = report(tables).where(F.col("status_rank") >= rosters.SURE_OUT)
     return rosters.players_out(pool, names.select(F.col("team_tri").alias("teamTricode"), F.col("player_name").alias("token")), ["teamTricode"])
 
 
@@ -77,13 +81,13 @@ CHOSEN = f"""chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 
 @query("selected_players", f"WITH RECURSIVE {MATP}, {POOL}, {CHOSEN} SELECT teamTricode, personId, playerName FROM chosen")
 def selected_players(spark, sf):
-    return predictions.selected_players(pool_of(spark, sf)).select("teamTricode", "personId", "playerName")
+    return predictions.selected_players(pool_of(season_tables(spark, sf))).select("teamTricode", "personId", "playerName")
 
 
-def game_rows_with_codes(spark, sf, rows):
+def game_rows_with_codes(tables, rows):
     """Latest team values per game in game-row form: efficiency and rating of both sides."""
     sides = rows.groupBy("gameId", "game_date", "teamTricode").agg(F.max("drtg_roll5").alias("drtg_roll5"), F.max("team_elo").alias("team_elo"))
-    games = schedule(spark, sf).select("gameId", "home_tricode", "away_tricode")
+    games = tables[1].select("gameId", "home_tricode", "away_tricode")
     side = lambda s: [F.max(F.when(F.col("teamTricode") == F.col(f"{s}_tricode"), F.col(c))).alias(f"{s}_{c}") for c in ("drtg_roll5", "team_elo")]
     return sides.join(games, "gameId").groupBy("gameId", "game_date", "home_tricode", "away_tricode").agg(*side("home"), *side("away"))
 
@@ -97,14 +101,15 @@ ctx AS (SELECT coalesce(l.team, p.team) AS opp_tri, round(coalesce(nullif(l.g.dr
   FROM lastg l FULL OUTER JOIN pmean p ON l.team = p.team)"""
 
 
-def context_of(spark, sf, rows, pool):
-    return settle(predictions.opponent_context(game_rows_with_codes(spark, sf, rows), pool), "opp_def_rating")
+def context_of(tables, rows, pool):
+    return settle(predictions.opponent_context(game_rows_with_codes(tables, rows), pool), "opp_def_rating")
 
 
 @query("opponent_context", f"WITH RECURSIVE {MATP}, {POOL}, {CONTEXT} SELECT * FROM ctx")
 def opponent_context(spark, sf):
-    rows = rated(spark, sf)
-    return context_of(spark, sf, rows, pool_of(spark, sf, rows))
+    tables = season_tables(spark, sf)
+    rows = rated(tables)
+    return context_of(tables, rows, pool_of(tables, rows))
 
 
 LOST = """lost AS (SELECT p.teamTricode, sum(coalesce(usg_pct_ewma, 0)) AS u, sum(coalesce(min_ewma, 0)) AS m FROM lpool p JOIN outs o ON o.teamTricode = p.teamTricode AND o.personId = p.personId GROUP BY ALL),
@@ -115,14 +120,15 @@ red AS (SELECT c.* REPLACE (CASE WHEN l.u IS NULL THEN c.usg_pct_ewma ELSE least
 
 @query("injury_redistribution", f"WITH RECURSIVE {MATP}, {POOL}, {CHOSEN}, {LOST} SELECT teamTricode, personId, round(usg_pct_ewma + 3.21e-8::DOUBLE, 6) AS usg_pct_ewma, round(min_ewma + 3.21e-8::DOUBLE, 6) AS min_ewma FROM red")
 def injury_redistribution(spark, sf):
-    pool = pool_of(spark, sf)
-    df = predictions.redistributed(pool, predictions.selected_players(pool), outs_of(spark, sf, pool))
+    tables = season_tables(spark, sf)
+    pool = pool_of(tables)
+    df = predictions.redistributed(pool, predictions.selected_players(pool), outs_of(tables, pool))
     return settle(df.select("teamTricode", "personId", "usg_pct_ewma", "min_ewma"), "usg_pct_ewma", "min_ewma")
 
 
-def fixtures_of(spark, sf):
+def fixtures_of(tables):
     """Each team meets the next one of its league; even teams are at home."""
-    teams = schedule(spark, sf).select(F.explode(F.array("home_team_id", "away_team_id")).alias("t")).distinct()
+    teams = tables[1].select(F.explode(F.array("home_team_id", "away_team_id")).alias("t")).distinct()
     return teams.select(F.expr("concat('T', t)").alias("teamTricode"), F.expr("concat('T', t div 5 * 5 + (t % 5 + 1) % 5)").alias("opp_tri"), F.expr("t % 2 = 0").alias("is_home"))
 
 
@@ -137,10 +143,11 @@ p2 AS (SELECT *, {', '.join(f"CASE WHEN factor IS NULL THEN b_{t} ELSE round_eve
 
 @query("stat_predictions", f"WITH RECURSIVE {MATP}, {POOL}, {CHOSEN}, {LOST}, {CONTEXT}, {FIX}, {PRED} SELECT teamTricode, personId, opp_tri, {', '.join(f'pred_{t}' for t in T7)} FROM p2")
 def stat_predictions(spark, sf):
-    rows = rated(spark, sf)
-    pool = pool_of(spark, sf, rows)
-    chosen = predictions.redistributed(pool, predictions.selected_players(pool), outs_of(spark, sf, pool))
-    df = predictions.stat_predictions(chosen, fixtures_of(spark, sf), context_of(spark, sf, rows, pool))
+    tables = season_tables(spark, sf)
+    rows = rated(tables)
+    pool = pool_of(tables, rows)
+    chosen = predictions.redistributed(pool, predictions.selected_players(pool), outs_of(tables, pool))
+    df = predictions.stat_predictions(chosen, fixtures_of(tables), context_of(tables, rows, pool))
     return df.select("teamTricode", "personId", "opp_tri", *[f"pred_{t}" for t in T7])
 
 
@@ -153,9 +160,10 @@ PREDICTED = f"{MATP}, {POOL}, {CHOSEN}, {LOST}, {CONTEXT}, {FIX}, {PRED}, {SCALE
 
 
 def predicted(spark, sf):
-    rows = rated(spark, sf)
-    pool = pool_of(spark, sf, rows)
-    return predictions.player_predictions(pool, outs_of(spark, sf, pool), fixtures_of(spark, sf), context_of(spark, sf, rows, pool))
+    tables = season_tables(spark, sf)
+    rows = rated(tables)
+    pool = pool_of(tables, rows)
+    return predictions.player_predictions(pool, outs_of(tables, pool), fixtures_of(tables), context_of(tables, rows, pool))
 
 
 @query("player_predictions", f"WITH RECURSIVE {PREDICTED} SELECT * FROM scaled")
@@ -169,14 +177,14 @@ PROFILE = f"""prof AS (SELECT teamTricode, round({WAVG('ortg', 113.5)} + 3.21e-8
   FROM (SELECT p.*, o.personId IS NULL AS here FROM lpool p LEFT JOIN outs o ON o.teamTricode = p.teamTricode AND o.personId = p.personId) GROUP BY teamTricode HAVING count(*) FILTER (here) > 0)"""
 
 
-def profiles(spark, sf):
-    pool = pool_of(spark, sf)
-    return settle(predictions.team_profiles(pool, outs_of(spark, sf, pool)), "ortg", "drtg", "pace", "elo", "pts_lost")
+def profiles(tables):
+    pool = pool_of(tables)
+    return settle(predictions.team_profiles(pool, outs_of(tables, pool)), "ortg", "drtg", "pace", "elo", "pts_lost")
 
 
 @query("team_profiles", f"WITH RECURSIVE {MATP}, {POOL}, {PROFILE} SELECT * FROM prof")
 def team_profiles(spark, sf):
-    return profiles(spark, sf)
+    return profiles(season_tables(spark, sf))
 
 
 GAMEP = f"""g0 AS (SELECT f.teamTricode AS home_tri, f.opp_tri AS away_tri, h.ortg AS home_ortg, h.drtg AS home_drtg, h.elo AS home_elo, h.pts_lost AS home_pts_lost,
@@ -190,8 +198,9 @@ g2 AS (SELECT *, least(0.95::DOUBLE, greatest(0.05::DOUBLE, round_even(0.75::DOU
   CASE WHEN (wp > 0.5) <> (h > a) THEN a ELSE h END AS home_score, CASE WHEN (wp > 0.5) <> (h > a) THEN h ELSE a END AS away_score, round_even(home_ortg, 1) AS home_ortg, round_even(away_ortg, 1) AS away_ortg,
   round_even(home_drtg, 1) AS home_drtg, round_even(away_drtg, 1) AS away_drtg, round_even(home_pts_lost, 1) AS home_pts_lost, round_even(away_pts_lost, 1) AS away_pts_lost FROM g2""")
 def game_predictions(spark, sf):
-    fixtures = fixtures_of(spark, sf).where("is_home").select(F.col("teamTricode").alias("home_tri"), F.col("opp_tri").alias("away_tri"))
-    return predictions.game_predictions(fixtures, profiles(spark, sf))
+    tables = season_tables(spark, sf)
+    fixtures = fixtures_of(tables).where("is_home").select(F.col("teamTricode").alias("home_tri"), F.col("opp_tri").alias("away_tri"))
+    return predictions.game_predictions(fixtures, written(profiles(tables), "profiles"))
 
 
 LBOX = """lbx AS (SELECT 'Player ' || (user_id + s.s) AS name, max((k + 0) % 20) AS pts, max((k + 1) % 20) AS reb, max((k + 2) % 20) AS ast, max((k + 3) % 20) AS stl, max((k + 4) % 20) AS blk,
@@ -202,7 +211,7 @@ cmp AS (SELECT l.*, p.personId IS NOT NULL AS matched, p.teamTricode, {0} FROM l
 def compared(spark, sf):
     actual = feeds.live_box(live_box_payloads(spark, sf)).groupBy("name").agg(*[F.max(t).alias(t) for t in T7])
     actual = actual.withColumn("name", F.upper("name"))
-    return predictions.box_comparison(actual, predicted(spark, sf))
+    return predictions.box_comparison(actual, written(predicted(spark, sf), "predicted"))
 
 
 @query("box_comparison", f"WITH RECURSIVE {PREDICTED}, {LBOX} SELECT upper(name) AS name, matched, {', '.join(T7)}, {', '.join(f'pred_{t}' for t in T7)}, {', '.join(f'round_even({t} - pred_{t}, 1) AS diff_{t}' for t in T7)} FROM cmp")
@@ -213,7 +222,7 @@ def box_comparison(spark, sf):
 @query("points_error", f"WITH RECURSIVE {PREDICTED}, {LBOX} SELECT teamTricode, round(avg(abs(pts - pred_pts)), 4) AS pts_mae FROM cmp WHERE matched GROUP BY teamTricode")
 def points_error(spark, sf):
     actual = feeds.live_box(live_box_payloads(spark, sf)).groupBy("name").agg(*[F.max(t).alias(t) for t in T7])
-    lines = predicted(spark, sf)
+    lines = written(predicted(spark, sf), "predicted")
     sides = lines.select("teamTricode", F.col("playerName").alias("name"))
     rows = predictions.box_comparison(actual.join(sides, "name"), lines, ["teamTricode"])
     return r6(rows.where("matched").groupBy("teamTricode").agg(F.avg(F.abs(F.col("pts") - F.col("pred_pts"))).alias("pts_mae")), "pts_mae", digits=4)
@@ -241,14 +250,16 @@ SELECT personId, playerName AS player_name, teamTricode AS team_tri, risk_pct, C
     CASE WHEN uf > 0.3 THEN 'Usage spike (' || round_even(ur * 100, 0)::INT || '%)' END, CASE WHEN b2b THEN 'Back-to-back' END, CASE WHEN jf > 0 THEN st END], lambda x: x IS NOT NULL), '; ') AS drivers
 FROM p ORDER BY risk_pct DESC, personId LIMIT 50""")
 def injury_risk(spark, sf):
-    df = reports.injury_risk(settle(matrix(spark, sf), *USED), report(spark, sf), NOW, "2024-02-04")
+    tables = season_tables(spark, sf)
+    df = reports.injury_risk(settle(matrix(spark, sf, tables), *USED), report(tables), NOW, "2024-02-04")
     return df.withColumn("drivers", F.concat_ws("; ", "drivers"))
 
 
 @query("injury_impact", f"""WITH RECURSIVE {MATP}, {REPORT}, l AS (SELECT teamTricode, personId, any_value(playerName) AS nm, arg_max(min_ewma, (game_date, gameId)) AS m FROM matp WHERE coalesce(min_ewma, 0) > 20 GROUP BY ALL)
   SELECT teamTricode, round_even(coalesce(sum(m) FILTER (i.u IS NOT NULL), 0) / greatest(sum(m), 1.0), 3) AS impact FROM l LEFT JOIN inj i ON lower(l.nm) = 'player ' || i.u AND i.team_tri = l.teamTricode AND i.status_rank >= 2 GROUP BY teamTricode""")
 def injury_impact(spark, sf):
-    return reports.injury_impact(settle(matrix(spark, sf), *USED), report(spark, sf))
+    tables = season_tables(spark, sf)
+    return reports.injury_impact(settle(matrix(spark, sf, tables), *USED), report(tables))
 
 
 @query("unplayed_games", f"""WITH {BOX}, {SCHED} SELECT s.* FROM sched s WHERE game_date > DATE '2024-01-20' AND NOT EXISTS (SELECT 1 FROM box b WHERE b.gameId = s.gameId AND b.pts >= 9)""")
@@ -287,7 +298,7 @@ DELTAS = ["net_rating", "win_pct"]
   SELECT t.teamTricode, a.score AS pre_score, b.score AS post_score, round(b.score - a.score, 6) AS score_delta, {', '.join(f'round(a.{c} + 3.21e-8::DOUBLE, 6) AS pre_{c}, round(b.{c} + 3.21e-8::DOUBLE, 6) AS post_{c}, round(b.{c} - a.{c} + 3.21e-8::DOUBLE, 6) AS {c}_delta' for c in DELTAS)}
   FROM t JOIN pre a ON a.teamTricode = t.teamTricode JOIN post b ON b.teamTricode = t.teamTricode""")
 def trade_impact(spark, sf):
-    pool = selection.scored_pool(pool_of(spark, sf), latest_positions(positions(spark, sf)))
+    pool = written(selection.scored_pool(pool_of(season_tables(spark, sf)), latest_positions(positions(spark, sf))), "scored")
     moves = pool.where("personId % 10 = 4").select("personId", F.expr("concat('T', personId div 50 * 5 + ((personId div 10) % 5 + 1) % 5)").alias("to_team"))
     changed = reports.trade_impact(pool, moves)
     return r6(settle(changed, *[f"{p}{c}{s}" for c in DELTAS for p, s in (("pre_", ""), ("post_", ""), ("", "_delta"))]), "score_delta")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hoopspark.operators import features, games, matchups, shots
 from hoopspark.operators.columns import game_model_columns, team_mean_columns
-from hoopspark.registry.bind import EV, SCHED, box, events, r6, schedule, settle, settled
+from hoopspark.registry.bind import EV, SCHED, box, events, r6, schedule, season_tables, settle, settled
 from hoopspark.registry.core import query
 from hoopspark.registry.series import (
     ELO, ELO_JOIN, EWMA, EFF_COLS, FEAT, MATRIX, POINTS, STINT_EWMA, matrix, rolled_sql, rounded,
@@ -190,7 +190,8 @@ GAME_INTS = ["home_active_players", "away_active_players", "roster_diff", "h2h_g
 
 
 def game_table(spark, sf):
-    return season.game_rows(matrix(spark, sf), box(spark, sf), schedule(spark, sf))
+    tables = season_tables(spark, sf)
+    return season.game_rows(matrix(spark, sf, tables), *tables)
 
 
 @query("game_features", f"WITH RECURSIVE {MATRIX}, {GAME_ROWS} SELECT gameId, game_date, season, {', '.join(GAME_INTS)}, {settled(GAME_DOUBLES)} FROM gr")
@@ -227,10 +228,7 @@ def game_score_rows(spark, sf):
 
 def game_scores(spark, sf):
     """Game rows with ratings and points, the input of the score models."""
-    from hoopspark.operators import elo
-    from hoopspark.registry.series import games_with_league
+    from hoopspark.registry.series import games_with_league, rated_matrix
 
-    rows, games_ = box(spark, sf), schedule(spark, sf)
-    points = games_with_league(spark, sf)
-    rated = elo.attach_elo(matrix(spark, sf), elo.elo_ratings(points, "league"), games_)
-    return games.score_targets(games.game_features(rated, rows, games_, elo=True), points)
+    tables = season_tables(spark, sf)
+    return games.score_targets(games.game_features(rated_matrix(tables), *tables, elo=True), games_with_league(spark, sf, tables))

@@ -9,7 +9,7 @@ from hoopspark.operators import elo, features
 from hoopspark.operators.columns import player_model_columns
 from hoopspark.operators.features import EFFICIENCY, ROLL_STATS, STINT_STATS
 from hoopspark.plans import season
-from hoopspark.registry.bind import BOX, SCHED, box, r6, schedule, settle, settled
+from hoopspark.registry.bind import BOX, SCHED, box, r6, schedule, season_tables, settle, settled
 from hoopspark.registry.core import query
 
 P = "PARTITION BY personId ORDER BY game_date, gameId"
@@ -214,9 +214,9 @@ elo AS MATERIALIZED (
   JOIN est h ON h.dn = g.dn - 1 AND h.team = g.home_team_id JOIN est a ON a.dn = g.dn - 1 AND a.team = g.away_team_id)"""
 
 
-def games_with_league(spark, sf):
-    games = schedule(spark, sf)
-    return features.game_points(box(spark, sf), games).join(games.select("gameId", "league"), "gameId")
+def games_with_league(spark, sf, tables=None):
+    rows, games = tables or (box(spark, sf), schedule(spark, sf))
+    return features.game_points(rows, games).join(games.select("gameId", "league"), "gameId")
 
 
 @query("elo_ratings", f"""WITH RECURSIVE {FEAT}, {POINTS}, {ELO}
@@ -304,8 +304,13 @@ MATRIX_IDS = ["gameId", "season", "game_date", "personId", "playerName", "teamId
               "rest_days", "is_back_to_back", "opp_def_rating", "games_on_current_team", "team_stint_id", "h2h_games"]
 
 
-def matrix(spark, sf):
-    return season.player_features(box(spark, sf), schedule(spark, sf))
+def matrix(spark, sf, tables=None):
+    return season.player_features(*(tables or season_tables(spark, sf)))
+
+
+def rated_matrix(tables):
+    """Feature matrix with the ratings of both teams."""
+    return season.player_features(*tables, ratings=season.team_ratings(*tables, "league"))
 
 
 @query("feature_matrix", f"WITH RECURSIVE {MATRIX} SELECT {', '.join(MATRIX_IDS)}, {settled(MATRIX_ROUND)} FROM matrix")
@@ -325,7 +330,8 @@ TRAIN_EXTRA = [c for c in LOAD_COLS if c != "high_workload_flag"]
   FROM matrix m LEFT JOIN wl w ON w.gameId = m.gameId AND w.personId = m.personId
   LEFT JOIN ej2 e ON e.gameId = m.gameId AND e.personId = m.personId""")
 def player_training_rows(spark, sf):
-    df = season.training_rows(matrix(spark, sf), box(spark, sf), schedule(spark, sf), "league")
+    tables = season_tables(spark, sf)
+    df = season.training_rows(rated_matrix(tables), *tables, "league")
     cols = player_model_columns(df, short_windows=True, extended=True)
     doubles = [c for c in cols if c.endswith(("_roll3", "_roll5", "_roll10", "_ewma", "_season_avg")) or c in TRAIN_ELO]
     return settle(df.select("gameId", "personId", "season", *cols), *doubles)
