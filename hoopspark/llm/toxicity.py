@@ -33,7 +33,6 @@ SAMPLE_ROWS = 30_000
 CONTEXT, OWN_FROM = 5, 2      # letters (a word's beginning is one) before a letter; shorter contexts are shared
 DISCOUNT = 0.75
 RARE = (5, 20, 80, 320)       # candidates for the documents an n-gram must be in to have counts by class
-MAX_GRAMS = 200_000
 KEPT_WORDS = 200_000
 BEGIN, END = "^", "$"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -149,31 +148,33 @@ def sample(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col: str = "
 
 
 def gram_table(rows: DataFrame) -> pd.DataFrame:
-    """The most frequent n-grams of the training rows with their counts by class, those of their contexts, and the
-    continuation counts that both classes share (how many different letters stand before the rest of the n-gram)."""
+    """Every n-gram of the training rows that is not too rare, with its count n and its ratio: the logarithm of its last letter's
+    chance in toxic texts over that in others. Each class discounts its counts behind a context and leaves the rest to the
+    continuation counts that both share (how many different letters stand before the rest of the n-gram). Only key, n and
+    ratio leave Spark; how many there are depends on the bounded sample."""
     counted = "key string, n1 long, n0 long"
     total = [F.sum("n1").alias("n1"), F.sum("n0").alias("n0")]
     words = rows.select("text", "toxic").mapInArrow(_count_words, counted).groupBy("key").agg(*total)
     grams = written(words.mapInArrow(_count_grams, counted).groupBy("key").agg(*total)
                     .select(F.expr("left(key, length(key) - 1)").alias("h"), F.expr("right(key, 1)").alias("ch"), "n1", "n0"), "grams")
-    kept = (grams.where((F.length("h") >= OWN_FROM) & (F.col("n1") + F.col("n0") >= RARE[0]))
-            .orderBy((F.col("n1") + F.col("n0")).desc(), "h", "ch").limit(MAX_GRAMS).withColumn("s", F.expr("substring(h, 2)")))
+    kept = grams.where((F.length("h") >= OWN_FROM) & (F.col("n1") + F.col("n0") >= RARE[0])).withColumn("s", F.expr("substring(h, 2)"))
     contexts = grams.groupBy("h").agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"), F.count_if(F.col("n1") > 0).alias("k1"), F.count_if(F.col("n0") > 0).alias("k0"))
     behind = grams.groupBy(F.expr("substring(h, 2)").alias("s"), "ch").agg(F.count("*").alias("b"))
     suffixes = behind.groupBy("s").agg(F.sum("b").alias("bt"), F.count("*").alias("bk"))
     letters = behind.groupBy("ch").agg(F.count("*").alias("u"))
-    return kept.join(contexts, "h").join(behind, ["s", "ch"]).join(suffixes, "s").join(letters, "ch").toPandas()
+    all_letters = letters.join(kept.select("ch").distinct(), "ch", "left_semi").agg(F.sum("u")).first()[0] or 1
+    shared = (F.greatest(F.col("b") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("bk") * (F.col("u") / all_letters)) / F.col("bt")
+    chance = lambda c: F.when(F.col(f"t{c}") > 0, (F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"k{c}") * shared) / F.col(f"t{c}")).otherwise(shared)
+    found = kept.join(contexts, "h").join(behind, ["s", "ch"]).join(suffixes, "s").join(letters, "ch")
+    return found.select(F.concat("h", "ch").alias("key"), (F.col("n1") + F.col("n0")).alias("n"), F.log(chance("1") / chance("0")).alias("ratio")).toPandas()
 
 
 def _models(g: pd.DataFrame) -> list[Model]:
     """A model for each number of documents below which an n-gram is rare."""
     if not len(g):
         return [Model({})]
-    d, letter = DISCOUNT, g["u"] / g["u"].groupby(g["ch"]).first().sum()
-    shared = (np.maximum(g["b"] - d, 0) + d * g["bk"] * letter) / g["bt"]
-    p1, p0 = (np.where(g[f"t{c}"] > 0, (np.maximum(g[f"n{c}"] - d, 0) + d * g[f"k{c}"] * shared) / np.maximum(g[f"t{c}"], 1), shared) for c in "10")
-    ratio, pooled, keys = np.log(p1 / p0), (g["n1"] + g["n0"]).to_numpy(), (g["h"] + g["ch"]).to_numpy()
-    return [Model(dict(zip(keys[pooled >= m], ratio[pooled >= m].tolist()))) for m in RARE]
+    keys, n, ratio = g["key"].to_numpy(), g["n"].to_numpy(), g["ratio"].to_numpy()
+    return [Model(dict(zip(keys[n >= m], ratio[n >= m].tolist()))) for m in RARE]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id") -> Model:

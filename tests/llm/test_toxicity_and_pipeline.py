@@ -34,6 +34,21 @@ def test_held_out_accuracy(labelled):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
 
 
+def test_every_frequent_gram_is_kept(labelled, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_GRAMS", 5, raising=False)
+    docs, labels, _ = labelled
+    rows = docs.limit(200).join(labels, "doc_id").cache()
+    counts, texts = {}, [r["text"] for r in rows.collect()]
+    for text in texts:
+        for word in toxicity.words_of(text):
+            for gram in toxicity.grams_of(word):
+                counts[gram] = counts.get(gram, 0) + 1
+    found = toxicity._models(toxicity.gram_table(rows))
+    for least, model in zip(toxicity.RARE, found):
+        assert set(model.ratios) == {g for g, n in counts.items() if n >= least and len(g) > toxicity.OWN_FROM}
+    rows.unpersist()
+
+
 def test_held_out_labels_change_nothing(spark, labelled):
     docs, labels, truth = labelled
     other = spark.createDataFrame([(i, 1 - t if crc32(str(i).encode()) % 5 == 0 else t) for i, t in truth.items()], "doc_id long, toxic int")
