@@ -90,15 +90,18 @@ def shares(text: str) -> np.ndarray:
 
 def svm(columns: list[np.ndarray], values: list[np.ndarray], side: np.ndarray) -> np.ndarray:
     """Weights of a linear support vector machine, the last for a constant: hinge loss by dual coordinate descent over sparse
-    rows, both sides with the same total cost."""
-    rows = [(np.append(c, WIDTH), np.append(v, 1.0).astype(np.float64)) for c, v in zip(columns, values)]
-    square = [float(v @ v) for _, v in rows]
+    rows, both sides with the same total cost. A row is widened when its turn comes: wide copies of all rows would take several
+    times the memory of the rows themselves."""
+    def row(i: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.append(columns[i], np.int32(WIDTH)), np.append(values[i], 1.0).astype(np.float64)
+
+    square = [float(v @ v) for _, v in map(row, range(len(side)))]
     share = {s: COST * len(side) / (2 * max(1, int((side == s).sum()))) for s in (-1, 1)}
     weights, dual, rng = np.zeros(WIDTH + 1), np.zeros(len(side)), np.random.default_rng(0)
     for _ in range(EPOCHS):
         worst = 0.0
         for i in rng.permutation(len(side)).tolist():
-            at, v = rows[i]
+            at, v = row(i)
             y = side[i]
             slope = y * float(weights[at] @ v) - 1
             new = min(max(dual[i] - slope / square[i], 0.0), share[y])

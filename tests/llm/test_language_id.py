@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -87,3 +88,15 @@ def test_machine_separates_and_pieces_do_not_matter(monkeypatch):
 def test_families():
     assert language_id.family_of("de-AT") == language_id.family_of("EN") == "germanic" and language_id.family_of("tlh") == "tlh"
     assert len(language_id.machines(["de", "en", "es", "fr"])) == 8 + 4
+
+
+def test_a_machine_holds_no_wide_copy_of_its_rows():
+    draw = np.random.default_rng(4)
+    columns = [np.sort(draw.choice(language_id.WIDTH, 600, replace=False)).astype(np.int32) for _ in range(1500)]
+    values = [draw.random(600, np.float32) / 25 for _ in columns]
+    side = np.where(np.arange(len(columns)) % 2, 1, -1)
+    tracemalloc.start()
+    weights = language_id.svm(columns, values, side)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert weights.any() and peak < sum(c.nbytes + v.nbytes for c, v in zip(columns, values)) / 2
