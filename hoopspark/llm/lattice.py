@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,14 @@ KEPT_WORDS = 250_000
 EM_ROUNDS = 2
 START = "▁"
 _B = np.uint64(0x100000001B3)
-_SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
-_FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+SLOTS = 1 << 16     # places that the hashes of pieces of one length are dealt to
+_ODD, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(48)
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words between space and 09-0D, A-Z lower-cased."""
-    return [w for w in text.translate(_FOLD).translate(_SPACES).split(" ") if w] if text else []
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words of a text in UTF-8 between space and 09-0D (the spaces of bytes.split), A-Z lower-cased."""
+    return text.translate(_FOLD).split() if text else []
 
 
 # --- pieces -------------------------------------------------------------------------------------------------------
@@ -52,16 +54,22 @@ class Pieces:
         for n in range(1, max(map(len, pieces), default=0) + 1):
             own = np.array([i for i, p in enumerate(pieces) if len(p) == n], np.int64)
             hashes = _hash(np.stack([codes[i] for i in own])) if len(own) else np.empty(0, np.uint64)
-            order = np.argsort(hashes)
-            self.tables.append((hashes[order], own[order]))
+            slots = _slot(hashes)
+            order = np.argsort(slots, kind="stable")
+            first = np.searchsorted(slots[order], np.arange(SLOTS)).astype(np.int32)
+            deepest = int(np.bincount(slots, minlength=1).max()) if len(own) else 0
+            # past the end stand entries that no span has as its slot's
+            self.tables.append((np.append(hashes[order], np.zeros(deepest, np.uint64)), np.append(own[order], np.full(deepest, -1)), first, deepest))
 
     def find(self, hashes: np.ndarray, n: int) -> np.ndarray:
         """Piece of each span of n letters, -1 for none."""
-        known, own = self.tables[n - 1]
-        if not len(known):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        return np.where(known[at] == hashes, own[at], -1)
+        known, own, first, deepest = self.tables[n - 1]
+        found = np.full(len(hashes), -1)
+        at = first[_slot(hashes)] if deepest else None
+        for k in range(deepest):
+            hit = np.flatnonzero(known[at + k] == hashes)
+            found[hit] = own[at[hit] + k]
+        return found
 
     def fallback(self, codes: np.ndarray) -> np.ndarray:
         """Log probability of single letters spelled in bytes."""
@@ -69,6 +77,10 @@ class Pieces:
         return np.array([self.byte_logs[list(chr(int(c)).encode("utf-8", "surrogatepass"))].sum() for c in value])[at]
 
 
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes * _ODD) >> _SHIFT).astype(np.int64)
+
+
 def _hash(codes: np.ndarray) -> np.ndarray:
     h = np.zeros(len(codes), np.uint64)
     for column in codes.T:
@@ -90,19 +102,20 @@ def load(path: str) -> Pieces:
     return Pieces([model.id_to_piece(i) for i in plain], np.log(weight), np.full(256, np.log(0.001 / 256)))
 
 
-def _edges(pieces: Pieces, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from, to, log weight, piece or -1) of the lattices of words of one length, by from."""
+def _edges(pieces: Pieces, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray | slice, np.ndarray, np.ndarray]]:
+    """(from, to, words that have the edge, their log weights, their pieces or -1) of the lattices of words of one length, by from."""
     for i in range(codes.shape[1]):
         h = np.zeros(len(codes), np.uint64)
         for n in range(1, min(len(pieces.tables), codes.shape[1] - i) + 1):
             h = h * _B + codes[:, i + n - 1] + np.uint64(1)
             own = pieces.find(h, n)
-            logs = np.where(own >= 0, pieces.logs[own], -np.inf)
-            if n == 1 and (own < 0).any():
-                logs[own < 0] = pieces.fallback(codes[own < 0, i])
-            elif not (own >= 0).any():
-                continue
-            yield i, i + n, logs, own
+            if n == 1:
+                logs = pieces.logs[own]
+                if (own < 0).any():
+                    logs[own < 0] = pieces.fallback(codes[own < 0, i])
+                yield i, i + 1, slice(None), logs, own
+            elif len(at := np.flatnonzero(own >= 0)):
+                yield i, i + n, at, pieces.logs[own[at]], own[at]
 
 
 def forward(pieces: Pieces, codes: np.ndarray, counts: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
@@ -111,18 +124,21 @@ def forward(pieces: Pieces, codes: np.ndarray, counts: np.ndarray | None = None,
     n, length = codes.shape
     alpha = np.full((length + 1, n), -np.inf)
     alpha[0] = 0
-    edges = list(_edges(pieces, codes))
-    for i, j, logs, _ in edges:
-        alpha[j] = np.logaddexp(alpha[j], alpha[i] + logs)
+    edges = []
+    for edge in _edges(pieces, codes):
+        i, j, at, logs, _ = edge
+        alpha[j, at] = np.logaddexp(alpha[j, at], alpha[i, at] + logs)
+        if expected is not None:
+            edges.append(edge)
     if expected is not None:
         beta = np.full((length + 1, n), -np.inf)
         beta[length] = 0
-        for i, j, logs, own in reversed(edges):
-            on = logs + beta[j]
-            share = np.exp(alpha[i] + on - alpha[length]) * counts
+        for i, j, at, logs, own in reversed(edges):
+            on = logs + beta[j, at]
+            share = np.exp(alpha[i, at] + on - alpha[length, at]) * counts[at]
             hit = own >= 0
             expected += np.bincount(own[hit], share[hit], len(expected))
-            beta[i] = np.logaddexp(beta[i], on)
+            beta[i, at] = np.logaddexp(beta[i, at], on)
     return alpha[length]
 
 
@@ -151,10 +167,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
     def flush():
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "c"])
 
     for batch in batches:
-        for text, held in zip(batch.column(0), batch.column(1).to_pylist()):
+        for text, held in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist()):
             words = words_of(text.as_py())
             if held:
                 for w in set(words):
@@ -204,38 +220,40 @@ def _scored(shared, total: int, distinct: int, discount: float):
 
 
 def _sums(shared):
-    """Per text one row with its number of tokens and the sums over frequent words, and one row per other distinct word."""
+    """Per text one row with its number of tokens and the sums over frequent words, and one row per other distinct word.
+    shared: place of each frequent word, and by place its logs, those of no place (-1) last."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = shared.value
+        place, base, log = shared.value
         for batch in batches:
-            at, word, n, tokens, known, base, log = [], [], [], [], [], [], []
-            for i, text in enumerate(batch.column(2)):
-                own, k, b, s, total = [], 0, 0.0, 0.0, 0
-                for w, m in Counter(words_of(text.as_py())).items():
-                    total += m
-                    entry = head.get(w)
-                    if entry is None:
-                        own.append((w, m))
-                    else:
-                        k, b, s = k + m, b + m * entry[0], s + m * entry[1]
-                at += [i] * (len(own) + 1)
-                word += ["\n" + str(i % 997), *(w for w, _ in own)]
-                n += [0, *(m for _, m in own)]
-                for column, value, zero in ((tokens, total, 0), (known, k, 0), (base, b, 0.0), (log, s, 0.0)):
-                    column.append(value)
-                    column += [zero] * len(own)
-                if len(at) > 200_000:
-                    yield _rows(batch, at, word, n, tokens, known, base, log)
-                    at, word, n, tokens, known, base, log = [], [], [], [], [], [], []
-            yield _rows(batch, at, word, n, tokens, known, base, log)
+            first, held, words, times = 0, 0, [], []
+            for i, text in enumerate(batch.column(2).cast(pa.binary())):
+                own = Counter(words_of(text.as_py()))
+                words.append(own.keys())
+                times.append(own.values())
+                held += len(own)
+                if held > 200_000:
+                    yield _rows(batch, first, words, times, place, base, log)
+                    first, held, words, times = i + 1, 0, [], []
+            yield _rows(batch, first, words, times, place, base, log)
     return run
 
 
-def _rows(batch, at, word, n, tokens, known, base, log) -> pa.RecordBatch:
-    at = pa.array(at, pa.int64())
-    return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(word, pa.string()), pa.array(n, pa.int64()), pa.array(tokens, pa.int64()),
-                                       pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(log, pa.float64())],
-                                      names=["id", "key", "word", "n", "tokens", "known", "hb", "hl"])
+def _rows(batch, first: int, words: list, times: list, place: dict, base: np.ndarray, log: np.ndarray) -> pa.RecordBatch:
+    """Rows of the texts from first on, given their distinct words and how often each has them."""
+    n, sizes = len(words), np.fromiter(map(len, words), np.int64, len(words))
+    own, total = np.repeat(np.arange(n), sizes), int(sizes.sum())
+    m = np.fromiter(chain.from_iterable(times), np.int64, total)
+    at = np.fromiter(map(place.get, chain.from_iterable(words), repeat(-1)), np.int64, total)
+    sums = lambda values: np.bincount(own, values, n)
+    rare = np.flatnonzero(at < 0)
+    every = list(chain.from_iterable(words)) if len(rare) else []
+    zeros = np.zeros(len(rare))
+    word = pa.array([b"\n%d" % ((first + i) % 997) for i in range(n)] + [every[k] for k in rare.tolist()], pa.binary()).cast(pa.string())
+    row = pa.array(np.concatenate([np.arange(n), own[rare]]) + first, pa.int64())
+    long = lambda values: pa.array(np.concatenate([values, zeros]).astype(np.int64))
+    return pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), word, pa.array(np.concatenate([np.zeros(n, np.int64), m[rare]])),
+                                       long(sums(m)), long(sums(np.where(at >= 0, m, 0))), pa.array(np.concatenate([sums(m * base[at]), zeros])),
+                                       pa.array(np.concatenate([sums(m * log[at]), zeros]))], names=["id", "key", "word", "n", "tokens", "known", "hb", "hl"])
 
 
 def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,7 +269,7 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     shape = (total, distinct, discount) if total else (1, 1, 1.0)
     scored = written(words.mapInArrow(_scored(context.broadcast(pieces), *shape), "word string, c long, base double, log double"), "scored")
     head = scored.where("c > 0").orderBy(F.col("c").desc(), "word").limit(HEAD_WORDS).toPandas()
-    known = context.broadcast(dict(zip(head["word"], zip(head["base"].tolist(), head["log"].tolist()))))
+    known = context.broadcast(({w.encode(): i for i, w in enumerate(head["word"])}, np.append(head["base"].to_numpy(), 0.0), np.append(head["log"].to_numpy(), 0.0)))
     end_base, end_log = (float(np.log10((ends + 1) / (total + distinct + 1))), float(np.log10(max(ends, 0.5) / shape[0])))
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("key"), F.col(text_col))
     kind = dict(docs.dtypes)[id_col]

@@ -41,6 +41,19 @@ def test_forward_sums_all_segmentations():
     assert sum(expected * [len(n) for n in names]) == pytest.approx(2 * 5)      # pieces cover every letter
 
 
+def test_edges_are_kept_for_the_words_that_have_them():
+    names = ["▁", "a", "b", "ab", "ba"]
+    pieces = lattice.Pieces(names, np.log(np.arange(1, 6) / 20), np.log(np.full(256, 1e-3)))
+    (_, codes), = lattice._by_length(["aab", "bbb", "xba"])
+    long = {(i, j): (at.tolist(), own.tolist()) for i, j, at, _, own in lattice._edges(pieces, codes) if j > i + 1}
+    assert long == {(2, 4): ([0, 2], [3, 4])}
+
+
+def test_words_are_those_of_the_pattern_in_bytes():
+    text = "A\x0bB\x1cc\x85d\xa0É \t\r\n\x0cZz\u2003ß "
+    assert lattice.words_of(text.encode()) == [w.encode() for w in ("a", "b\x1cc\x85d\xa0É", "zz\u2003ß")] and lattice.words_of(None) == lattice.words_of(b"") == []
+
+
 def check(rows, got, better=False):
     held = lambda i: crc32(("" if i is None else str(i)).encode()) % 7 == 2
     low = [(i, WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))) for i, t in rows]
