@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hoopspark.llm.encoding import encoder, text_groups
-from hoopspark.llm.shared import partitions
+from hoopspark.llm.shared import lean, partitions
 from hoopspark.session import written
 
 SIZE = 2048
@@ -105,7 +105,7 @@ def _pieces(path: str, end_id: int, size: int):
 def cut_pieces(docs: DataFrame, path: str, end_id: int = 0, size: int = SIZE) -> DataFrame:
     """Token pieces of every text: doc_id, piece, start, length, ids_crc32. The first piece of a long text may be shorter."""
     return docs.select("doc_id", "text").mapInArrow(
-        _pieces(path, end_id, size), f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
+        lean(_pieces(path, end_id, size)), f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
 
 
 def _place(shared):
@@ -140,7 +140,7 @@ def assign(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     ranked = (parted.withColumn("own", F.row_number().over(within) - 1).join(base, ["length", "part"])
               .select(*pieces.columns, (F.col("base") + F.col("own")).alias("rank")))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(_place(slots), schema)
+    return ranked.mapInArrow(lean(_place(slots)), schema)
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 0, size: int = SIZE) -> DataFrame:

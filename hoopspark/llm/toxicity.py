@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hoopspark.llm.shared import crc_fold
+from hoopspark.llm.shared import crc_fold, lean
 from hoopspark.session import written
 
 FOLDS = 5                     # labels of fold 0 are never learned from
@@ -118,7 +118,7 @@ def _scorer(shared, keep: list[str]):
 def _run(docs: DataFrame, models: list[Model], keep: list[str]) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"c{i} {types[k]}" for i, k in enumerate(keep)), "ratios array<double>", "score double"])
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(models), keep), schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lean(_scorer(docs.sparkSession.sparkContext.broadcast(models), keep)), schema)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float, float]:
@@ -154,8 +154,8 @@ def gram_table(rows: DataFrame) -> pd.DataFrame:
     ratio leave Spark; how many there are depends on the bounded sample."""
     counted = "key string, n1 long, n0 long"
     total = [F.sum("n1").alias("n1"), F.sum("n0").alias("n0")]
-    words = rows.select("text", "toxic").mapInArrow(_count_words, counted).groupBy("key").agg(*total)
-    grams = written(words.mapInArrow(_count_grams, counted).groupBy("key").agg(*total)
+    words = rows.select("text", "toxic").mapInArrow(lean(_count_words), counted).groupBy("key").agg(*total)
+    grams = written(words.mapInArrow(lean(_count_grams), counted).groupBy("key").agg(*total)
                     .select(F.expr("left(key, length(key) - 1)").alias("h"), F.expr("right(key, 1)").alias("ch"), "n1", "n0"), "grams")
     kept = grams.where((F.length("h") >= OWN_FROM) & (F.col("n1") + F.col("n0") >= RARE[0])).withColumn("s", F.expr("substring(h, 2)"))
     contexts = grams.groupBy("h").agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"), F.count_if(F.col("n1") > 0).alias("k1"), F.count_if(F.col("n0") > 0).alias("k0"))
