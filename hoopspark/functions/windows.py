@@ -81,14 +81,12 @@ def ewma_series(
     """
     runs = list(dict.fromkeys(r for own, _, _ in series for r in own))
     added = [(f"{c}{suffix}", [*keys, *own], c) for own, cols, suffix in series for c in cols]
-    used = list(dict.fromkeys(c for _, _, c in added))
     rows = df.repartition(*keys).sortWithinPartitions(*keys, *runs, *order)
-    wide = rows.withColumns({f"_x_{c}": F.col(c).cast("double") for c in used})
     schema = StructType([*df.schema.fields, *[StructField(name, DoubleType()) for name, _, _ in added]])
-    return wide.mapInArrow(_ewma_stream(added, len(df.columns), 1.0 - alpha, alpha), schema)
+    return rows.mapInArrow(_ewma_stream(added, 1.0 - alpha, alpha), schema)
 
 
-def _ewma_stream(added: list[tuple[str, list[str], str]], width: int, decay: float, alpha: float):
+def _ewma_stream(added: list[tuple[str, list[str], str]], decay: float, alpha: float):
     kinds = [list(k) for k in dict.fromkeys(tuple(k) for _, k, _ in added)]
     names = {tuple(k): [c for _, own, c in added if own == k] for k in kinds}
 
@@ -99,7 +97,7 @@ def _ewma_stream(added: list[tuple[str, list[str], str]], width: int, decay: flo
                 continue
             means = {}
             for k in kinds:
-                x = [batch.column(f"_x_{c}") for c in names[tuple(k)]]
+                x = [batch.column(c).cast(pa.float64(), safe=False) for c in names[tuple(k)]]
                 values = np.stack([c.to_numpy(zero_copy_only=False) for c in x], axis=1)
                 known = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in x], axis=1)
                 key = [batch.column(c) for c in k]
@@ -108,8 +106,8 @@ def _ewma_stream(added: list[tuple[str, list[str], str]], width: int, decay: flo
                 y, there, state = _ewma_batch(values, known, _starts(key), state if follows else None, decay, alpha)
                 carried[tuple(k)] = [own[-1] for own in key], state
                 means |= {(tuple(k), c): pa.array(y[:, i], mask=~there[:, i]) for i, c in enumerate(names[tuple(k)])}
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *[means[tuple(k), c] for _, k, c in added]],
-                                             names=[*batch.schema.names[:width], *[name for name, _, _ in added]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[means[tuple(k), c] for _, k, c in added]],
+                                             names=[*batch.schema.names, *[name for name, _, _ in added]])
     return run
 
 
@@ -148,6 +146,15 @@ def latest_values(df: DataFrame, keys, order, cols) -> DataFrame:
     )
 
 
+def latest_in_series(df: DataFrame, keys, order, cols) -> DataFrame:
+    """What :func:`latest_values` gives, for calendar series: carried along each series in its order, whose last row is kept.
+    One sort serves all columns, and rows that are already hashed by part of the key are not shuffled again."""
+    w = series(keys, order)
+    so_far = w.rowsBetween(UNBOUNDED, 0)
+    carried = [F.last(c, ignorenulls=True).over(so_far).alias(c) for c in cols if c not in keys]
+    return df.select(*keys, *carried, F.lead(F.lit(True)).over(w).alias("_more")).where("_more IS NULL").drop("_more")
+
+
 def first_values(df: DataFrame, keys, order, cols) -> DataFrame:
     """First non-null value per column, each on its own."""
     rank = F.struct(*order) if len(order) > 1 else F.col(order[0])

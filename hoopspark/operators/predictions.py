@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hoopspark.functions.scalars import clip, half_even, normal_name, sigmoid, zero_if_null
-from hoopspark.functions.windows import latest_values, top_rows
+from hoopspark.functions.windows import latest_in_series, top_rows
 
 # fixed values
 LEAGUE_POINTS = 113.5
@@ -29,7 +29,7 @@ def blend(ewma: str, season: str) -> Column:
 def current_players(features: DataFrame, season, roster: DataFrame | None = None, cols: list[str] | None = None) -> DataFrame:
     """Latest values of each team's players this season, kept to the live roster (matched on normalised names)."""
     cols = cols or [c for c in features.columns if c not in ("teamTricode", "personId", "season")]
-    latest = latest_values(
+    latest = latest_in_series(
         features.where(F.col("season") == season), ["teamTricode", "personId"], ["game_date", "gameId"], cols
     )
     if roster is None:

@@ -26,11 +26,20 @@ matp AS MATERIALIZED (SELECT m.gameId, m.season, m.game_date, m.personId, m.play
   {settled(USED, 'm.')}, round(e.team_elo, 6) AS team_elo FROM matrix m LEFT JOIN ej2 e ON e.gameId = m.gameId AND e.personId = m.personId)"""
 
 
+IDS = ["gameId", "season", "game_date", "personId", "playerName", "teamTricode"]
+BOX_READ = list(dict.fromkeys([*IDS, "teamId", *features.ROLL_STATS, *features.TEAM_TOTALS]))
+
+
+def rated_rows(tables):
+    """What the predictions read of the feature matrix with team ratings, rounded so that both engines predict from the same
+    numbers. Rows pass through Python whole, so they start from the columns that are read."""
+    rows = rated_matrix((tables[0].select(*BOX_READ), tables[1]), stint_stats=[]).select(*IDS, *USED, "team_elo")
+    return r6(settle(rows, *USED), "team_elo")
+
+
 def rated(tables):
-    """What the predictions read of the feature matrix with team ratings, written once; rounded so that both
-    engines predict from the same numbers."""
-    rows = rated_matrix(tables).select("gameId", "season", "game_date", "personId", "playerName", "teamTricode", *USED, "team_elo")
-    return written(r6(settle(rows, *USED), "team_elo"), "features")
+    """These rows written once, for queries that read them again beside the pool."""
+    return written(rated_rows(tables), "features")
 
 
 def ids_of(tables):
@@ -66,7 +75,7 @@ outs AS (SELECT DISTINCT p.teamTricode, p.personId FROM lpool p JOIN inj i ON i.
 
 def pool_of(tables, rows=None):
     """Current players, stored: selection, absences and context read them in turn."""
-    rows = rated(tables) if rows is None else rows
+    rows = rated_rows(tables) if rows is None else rows
     return written(predictions.current_players(rows, NOW, live_roster(tables), ["playerName", *PCOLS]), "pool")
 
 

@@ -308,9 +308,9 @@ def matrix(spark, sf, tables=None):
     return season.player_features(*(tables or season_tables(spark, sf)))
 
 
-def rated_matrix(tables):
+def rated_matrix(tables, stint_stats=STINT_STATS):
     """Feature matrix with the ratings of both teams."""
-    return season.player_features(*tables, ratings=season.team_ratings(*tables, "league"))
+    return season.player_features(*tables, stint_stats=stint_stats, ratings=season.team_ratings(*tables, "league"))
 
 
 @query("feature_matrix", f"WITH RECURSIVE {MATRIX} SELECT {', '.join(MATRIX_IDS)}, {settled(MATRIX_ROUND)} FROM matrix")
